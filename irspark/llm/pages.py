@@ -263,13 +263,13 @@ def frame_lines(pages: DataFrame, model: dict | None = None) -> DataFrame:
     x = x.select("id", "session", "line_no", frame.alias("frame"), (~frame & article & F.col("form").isin(_SENTENCE, _ROW)).alias("body"))
     # rows with an article: line counts per row are bounded by the page, so one row's lines are gathered
     whole = x.groupBy("id", "session").agg(F.max("body").alias("body"), F.array_distinct(F.collect_list(F.when(F.col("frame"), F.col("line_no")))).alias("frame"))
-    return whole.where("body").select("id", "session", F.explode("frame").alias("line_no"))
+    return whole.where("body").select("id", F.when(F.col("session") != "", F.col("session")).alias("session"), F.explode("frame").alias("line_no"))
 
 
 def blocks(pages: DataFrame, model: dict | None = None) -> DataFrame:
     """The pages with main, the text of the article's lines alone, in order and with their markup. Other columns stay."""
     model = fit(pages) if model is None else model
-    cut = frame_lines(pages, model).groupBy(F.col("id").alias("_id"), F.col("session").alias("_session")).agg(F.collect_set("line_no").alias("_cut"))
+    cut = frame_lines(pages, model).groupBy(F.col("id").alias("_id"), F.coalesce("session", F.lit("")).alias("_session")).agg(F.collect_set("line_no").alias("_cut"))
     keep = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.coalesce(F.array_contains("_cut", i), F.lit(False)))
     return pages.join(cut, (F.col("id") == F.col("_id")) & (F.coalesce("session", F.lit("")) == F.col("_session")), "left").withColumn("main", F.array_join(keep, "\n")).drop("_id", "_session", "_cut")
 
