@@ -28,7 +28,7 @@ texts as (select 'corpus' as tab, 0 as grp, id, text from kept union all select
 words as (select tab, grp, id, """
     + _WORDS.format("text")
     + """ as w from texts),
-grams as (select distinct tab, grp, id, unnest(list_transform(range(1, len(w) - 1), i -> w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) as g from words where len(w) >= 3),
+grams as (select distinct tab, grp, id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) as g from words where len(w) >= 3),
 size as (select tab, id, count(*) as n from grams group by all),
 common_ as (select a.tab, a.id as id_a, b.id as id_b, count(*) as c from grams a join grams b on a.tab = b.tab and a.grp = b.grp and a.g = b.g and a.id < b.id group by all)
 select tab, id_a, id_b from common_ join size x on x.tab = common_.tab and x.id = id_a join size y on y.tab = common_.tab and y.id = id_b where 3 * c >= x.n + y.n
