@@ -11,36 +11,77 @@ left out; a constant list gives all its items the same points. Points are kept d
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.rank import places, tie_ranks
+from ..session import bounded_join, written
 
+#: Groups of more rows than this are ranked in pieces; smaller ones in one pass over rows partitioned by group.
+HOT_ROWS = 200_000
 
-def borda(df: DataFrame, group: str = "qid", branch: str = "branch", item: str = "unit_id", score: str = "score", weights: dict[str, int] | None = None) -> DataFrame:
+
+def _points(items: DataFrame, n: Column, lists: Column, listed: Column) -> DataFrame:
+    """Doubled points of items (g, i, lists, w, gain, fw, fm).
+
+    In a list of m scores an item of rank r gets n - r points, and one that it leaves out the middle of the places m + 1 to n. Summed over
+    lists this is w * n + gain + (n * sum of weights - sum of weighted m + 1), so that no row is made for an absent score.
+    """
+    return items.select("g", "i", (F.col("w") * n + F.col("gain") + n * lists - listed).cast("long").alias("points2"), "lists")
+
+
+def _weight(weights: dict[str, int] | None) -> Column:
+    w = F.lit(1)
+    for k, v in (weights or {}).items():
+        w = F.when(F.col("b") == k, v).otherwise(w)
+    return w
+
+
+def _items(entries: DataFrame, weights: dict[str, int] | None) -> DataFrame:
+    """Per item from entries (g, b, i, s, rank2, m, first): lists that score it, their weight, its gain, and what its
+    list's first entry carries for the whole list."""
+    w, has = _weight(weights), F.col("s").isNotNull()
+    sums = {"lists": F.lit(1), "w": w, "gain": w * (F.col("m") + 1 - F.col("rank2")), "fw": F.when(F.col("first"), w).otherwise(0), "fm": F.when(F.col("first"), w * (F.col("m") + 1)).otherwise(0)}
+    return entries.groupBy("g", "i").agg(*(F.sum(F.when(has, v).otherwise(0)).alias(k) for k, v in sums.items()))
+
+
+def borda(df: DataFrame, group: str = "qid", branch: str = "branch", item: str = "unit_id", score: str = "score", weights: dict[str, int] | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(group, item, points2, lists, place): one order of every group's items."""
     valid = F.col(score).isNotNull()
     if dict(df.dtypes)[score] in ("float", "double"):
         valid = valid & ~F.isnan(score)
     rows = df.where(F.col(group).isNotNull() & F.col(item).isNotNull()).select(F.col(group).alias("g"), F.col(branch).alias("b"), F.col(item).alias("i"), F.when(valid, F.col(score)).alias("s"))
-    best = rows.groupBy("g", "b", "i").agg(F.max("s").alias("s"))
-    n = best.select("g", "i").distinct().groupBy("g").agg(F.count("*").alias("n"))
-    w = F.lit(1)
-    for k, v in (weights or {}).items():
-        w = F.when(F.col("b") == k, v).otherwise(w)
-    scored = best.where("s is not null")
-    ranks = tie_ranks(scored, ["g", "b"], "s")
-    # doubled points of the items that a list with m scores leaves out: 2n - (m + 1 + n)
-    lists = scored.groupBy("g", "b").agg(F.count("*").alias("m")).join(n, "g").select("g", "b", "n", (w * (F.col("n") - F.col("m") - 1)).alias("absent"))
-    base = lists.groupBy("g").agg(F.sum("absent").alias("base"))
-    r = ranks.select(F.col("g").alias("rg"), F.col("b").alias("rb"), F.col("s").alias("rs"), "rank2")
-    with_rank = scored.join(r, (F.col("g") == F.col("rg")) & F.col("b").eqNullSafe(F.col("rb")) & (F.col("s") == F.col("rs"))).drop("rg", "rb", "rs")
-    ls = lists.select(F.col("g").alias("lg"), F.col("b").alias("lb"), "n", "absent")
-    gained = with_rank.join(ls, (F.col("g") == F.col("lg")) & F.col("b").eqNullSafe(F.col("lb"))).select("g", "i", (w * (2 * F.col("n") - F.col("rank2")) - F.col("absent")).alias("gain"))
-    silent = best.select("g", "i", F.lit(None).cast("long").alias("gain"))
-    total = gained.select("g", "i", F.col("gain").cast("long").alias("gain")).unionByName(silent).groupBy("g", "i").agg(F.coalesce(F.sum("gain"), F.lit(0)).alias("gain"), F.count("gain").alias("lists"))
-    points = total.join(base, "g", "left").select("g", "i", (F.col("gain") + F.coalesce("base", F.lit(0))).cast("long").alias("points2"), "lists")
-    return places(points, ["g"], "points2", ["i"]).select(F.col("g").alias(group), F.col("i").alias(item), "points2", "lists", "place")
+    # groups over hot_rows: fewer than rows / hot_rows
+    hot = written(rows.groupBy("g").count().where(F.col("count") > hot_rows).select("g"), "hot")
+    some = not hot.isEmpty()
+    out = _cold(bounded_join(rows, hot, ["g"], "left_anti") if some else rows, weights)
+    if some:
+        out = out.unionByName(_hot(bounded_join(rows, hot, ["g"], "left_semi"), weights))
+    return out.select(F.col("g").alias(group), F.col("i").alias(item), "points2", F.col("lists").cast("long").alias("lists"), F.col("place").cast("long").alias("place"))
+
+
+def _cold(rows: DataFrame, weights: dict[str, int] | None) -> DataFrame:
+    """All steps after one exchange by group."""
+    best = rows.repartition("g").groupBy("g", "b", "i").agg(F.max("s").alias("s"))
+    w = Window.partitionBy("g", "b").orderBy(F.desc_nulls_last("s"))
+    ties = F.count("*").over(w.rangeBetween(Window.currentRow, Window.currentRow))
+    m = F.count("s").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    entries = best.select("*", (2 * F.rank().over(w) + ties - 1).alias("rank2"), m.alias("m"), (F.row_number().over(w) == 1).alias("first"))
+    g = Window.partitionBy("g")
+    points = _points(_items(entries, weights), F.count("*").over(g), F.sum("fw").over(g), F.sum("fm").over(g))
+    return points.select("*", F.row_number().over(g.orderBy(F.desc("points2"), "i")).alias("place"))
+
+
+def _hot(rows: DataFrame, weights: dict[str, int] | None) -> DataFrame:
+    """The same for groups that no single task should hold."""
+    best = written(rows.groupBy("g", "b", "i").agg(F.max("s").alias("s")), "best")
+    ranks = tie_ranks(best, ["g", "b"], "s").withColumnsRenamed({"g": "rg", "b": "rb", "s": "rs"}).drop("n")
+    size = best.groupBy("g", "b").agg(F.count("s").alias("m"), F.min(F.when(F.col("s").isNotNull(), F.col("i"))).alias("one")).withColumnsRenamed({"g": "lg", "b": "lb"})
+    e = best.join(ranks, (F.col("g") == F.col("rg")) & F.col("b").eqNullSafe(F.col("rb")) & (F.col("s") == F.col("rs")), "left")
+    e = e.join(size, (F.col("g") == F.col("lg")) & F.col("b").eqNullSafe(F.col("lb"))).withColumn("first", F.col("i") == F.col("one"))
+    items = written(_items(e, weights), "items")
+    total = items.groupBy("g").agg(F.count("*").alias("n"), F.sum("fw").alias("tw"), F.sum("fm").alias("tm"))
+    return places(_points(items.join(total, "g"), F.col("n"), F.col("tw"), F.col("tm")), ["g"], "points2", ["i"])
 
 
 SQL = """
