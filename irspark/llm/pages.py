@@ -7,7 +7,8 @@ stand) and the classifier. blocks() keeps spacing, lists and the cells of tables
 
 The classifier is a regularised multinomial logistic regression over hashed word n-grams, line length and title features. Its
 labels are weak: lines of long pages that were fetched are article, lines of short pages whose status is a failure, or that hold a
-phrase of PHRASES, are residue, lines that stand in many sampled pages of their host are frame. It is fitted on TRAIN_ROWS rows.
+phrase of PHRASES, are residue, lines that stand in many sampled pages of their host are frame. It is fitted on about
+TRAIN_ROWS rows and half as many that the weak labels call residue, chosen by a hash of their id.
 
 Defined results: null ids are left out; rows with null or empty text have no lines; repeated rows change nothing, as results are
 distinct and statistics count ids; rows without any article line are no cases of the main body, whose text is then empty.
@@ -26,7 +27,7 @@ from ..session import bounded_join, written
 from . import vec
 from .common import batch, i64, table
 
-TRAIN_ROWS = 8000
+TRAIN_ROWS = 3000
 BUCKETS = 1 << 16
 ARTICLE, FRAME, RESIDUE = 0, 1, 2
 LONG_PAGE, SHORT_PAGE = 600, 500
@@ -143,16 +144,31 @@ def bare_title(title: str = "title"):
 def fit(pages: DataFrame, rows: int = TRAIN_ROWS, rounds: int = 60, seed: int = 3) -> dict:
     """Weights of the classifier, and its accuracy on the lines of hosts that weren't trained on."""
     have = pages.where("id is not null and text is not null and text <> ''").select("id", "session", "host", "status", "text", title_kind().alias("kind"), F.col("text").rlike(PHRASES).alias("phrase"))
-    total = have.count()
-    if total > rows:
-        have = have.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int((1 << 20) * rows / total))
-    p = have.toPandas().drop_duplicates(["id", "session"]).sort_values(["id", "session"], kind="stable").reset_index(drop=True)
-    cp, off = vec.codepoints(pa.array(p["text"], pa.large_string()))
-    ln = page_lines(cp, off)
-    n = len(ln["doc"])
+    weak = (F.col("status").isin(*FAILED) | F.col("phrase")) & (F.length("text") < SHORT_PAGE)
+    have = have.withColumn("weak", F.coalesce(weak, F.lit(False)))
+    total, failed = have.agg(F.count("*"), F.count_if("weak")).first()
+    place = F.pmod(F.xxhash64("id"), F.lit(1 << 20))
+    have = have.where((place < int((1 << 20) * min(1, rows / max(total, 1)))) | (F.col("weak") & (place < int((1 << 20) * min(1, rows / 2 / max(failed, 1))))))
+    p = have.drop("weak").toPandas().drop_duplicates(["id", "session"]).sort_values(["id", "session"], kind="stable").reset_index(drop=True)
+    kinds = p["kind"].to_numpy()
+    # slice by slice, so that the driver holds no more than the lines' facts and n-grams
+    parts, grams, lines_before, rows_before = [], [], 0, 0
+    texts = pa.RecordBatch.from_arrays([pa.array(p["text"], pa.large_string())], ["text"])
+    for piece in vec.slices(iter([texts]), "text"):
+        cp, off = vec.codepoints(piece.column("text"))
+        ln = page_lines(cp, off)
+        b, line, wt, _ = _features(cp, off, ln, kinds[rows_before : rows_before + piece.num_rows])
+        grams.append((b.astype(np.int32), (line + lines_before).astype(np.int32), wt))
+        lines_before += len(ln["doc"])
+        parts.append({k: v for k, v in ln.items() if k not in ("start", "end")} | {"doc": ln["doc"] + rows_before, "chars": np.diff(off)[ln["doc"]]})
+        rows_before += piece.num_rows
     empty = {"weights": np.zeros((BUCKETS, 3), np.float32), "accuracy": float("nan"), "lines": 0}
-    if not n:
+    if not lines_before:
         return empty
+    ln = {k: np.concatenate([x[k] for x in parts]) for k in parts[0]}
+    b, line, wt = (np.concatenate([x[i] for x in grams]) for i in range(3))
+    del grams, parts
+    n = len(ln["doc"])
     host = p["host"].fillna("").astype("category").cat.codes.to_numpy().astype(np.int64)[ln["doc"]]
     ids = p["id"].to_numpy()[ln["doc"]]
     key = vec.mix(ln["hash"] + host.astype(np.uint64) * vec.BASE)
@@ -162,7 +178,7 @@ def fit(pages: DataFrame, rows: int = TRAIN_ROWS, rounds: int = 60, seed: int =
     per_host = p.groupby(p["host"].fillna(""))["id"].nunique()
     n_host = per_host.to_numpy()[host]
     often = (seen >= np.maximum(4, 0.08 * n_host)) & ~ln["heading"]
-    chars = np.diff(off)[ln["doc"]]
+    chars = ln["chars"]
     status, phrase = p["status"].fillna("").to_numpy()[ln["doc"]], p["phrase"].to_numpy()[ln["doc"]]
     label = np.full(n, -1)
     label[(status == "ok") & (chars > LONG_PAGE) & ~often & (ln["stop"] | ln["item"] | (ln["cells"] > 1)) & ~ln["cut"] & (ln["letters"] >= 8)] = ARTICLE
@@ -173,7 +189,6 @@ def fit(pages: DataFrame, rows: int = TRAIN_ROWS, rounds: int = 60, seed: int =
     least = max(500, 3 * min((np.bincount(label[used], minlength=3)[k] for k in range(3)), default=0))
     rng = np.random.default_rng(seed)
     used = np.sort(np.concatenate([rng.permutation(used[label[used] == k])[:least] for k in range(3)]))
-    b, line, wt, at = _features(cp, off, ln, p["kind"].to_numpy())
     pick = np.isin(line, used)
     b, line, wt = b[pick], np.searchsorted(used, line[pick]), wt[pick]
     at = np.searchsorted(line, np.arange(len(used)))
