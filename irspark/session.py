@@ -33,7 +33,18 @@ def written(df: DataFrame, name: str, options: dict[str, str] | None = None) ->
     """
     path = work_path(df.sparkSession, name)
     df.write.options(**(options or {})).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._irspark_path = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete written tables that no later plan reads."""
+    for df in frames:
+        if path := getattr(df, "_irspark_path", None):
+            jvm = df.sparkSession._jvm
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def count_up_to(df: DataFrame, bound: int) -> int:
