@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import bounded_join, written
+from ..session import bounded_join, discard, written
 from . import vec
 from .common import batch, i64, lists
 
@@ -97,6 +97,7 @@ def repeated(corpus: DataFrame, min_rows: int = MIN_ROWS, id: str = "id", text:
     all_lines = written(lines(corpus, id, text, host), "lines")
     chunks = written(all_lines.select("hk", F.explode("chunks").alias("chunk")).groupBy("hk", "chunk").count().where(F.col("count") >= min_rows).select("hk", "chunk"), "chunks")
     cand = written(bounded_join(all_lines.select("id", "hk", "line_no", "lh", "chunk", "fresh"), chunks, ["hk", "chunk"], "left_semi").drop("chunk"), "candidates")
+    discard(all_lines, chunks)
     again = written(cand.where("fresh").groupBy("hk", "lh").agg(F.count("*").alias("n")).where(F.col("n") >= min_rows), "again")
     return again, cand
 
