@@ -25,7 +25,7 @@ from . import vec
 from .common import batch
 
 LANGS = ("en", "fr", "ja", "vi", "zh")
-TRAIN_ROWS = 4000
+TRAIN_ROWS = 2000
 DIM = 2048
 SYMBOLS = 128
 #: Letters a stretch needs to be a full sentence: of alphabetic scripts, of Han and kana.
@@ -182,12 +182,19 @@ def train(documents: DataFrame, rows: int = TRAIN_ROWS) -> np.ndarray:
         have = have.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * rows / total))
     sample = have.select(label.alias("label"), "text").toPandas()
     lab = np.array([LANGS.index(x) for x in sample["label"]], np.int64)
-    cp, off = vec.codepoints(pa.array(sample["text"], pa.large_string()))
-    s = sentences(cp, off)
-    want = lab[s["doc"]] if len(lab) else np.zeros(0, np.int64)
+    code, sent, want, rows_before = [], [], [], 0
+    texts = pa.RecordBatch.from_arrays([pa.array(sample["text"], pa.large_string())], ["text"])
+    for piece in vec.slices(iter([texts]), "text"):
+        s = sentences(*vec.codepoints(piece.column("text")))
+        code.append(s["code"].astype(np.int32))
+        sent.append((s["sent"] + sum(map(len, want))).astype(np.int32))
+        want.append(lab[s["doc"] + rows_before])
+        rows_before += piece.num_rows
+    s = {"code": np.concatenate([np.zeros(0, np.int32), *code]), "sent": np.concatenate([np.zeros(0, np.int32), *sent])}
+    want = np.concatenate([np.zeros(0, np.int64), *want])
     vectors = letter_vectors()
     prototypes = np.zeros((len(LANGS), DIM))
-    keep = np.ones(len(s["end"]), bool)
+    keep = np.ones(len(want), bool)
     for _ in range(3):
         prototypes = np.zeros((len(LANGS), DIM))
         for k in range(len(LANGS)):
@@ -195,7 +202,7 @@ def train(documents: DataFrame, rows: int = TRAIN_ROWS) -> np.ndarray:
             for i in range(0, len(codes), 4096):
                 prototypes[k] += np.sqrt(n[i : i + 4096]).astype(np.float32) @ bound(codes[i : i + 4096], vectors).astype(np.float32)
         sent, cos = Scorer(prototypes)(s)
-        keep = np.zeros(len(s["end"]), bool)
+        keep = np.zeros(len(want), bool)
         keep[sent] = cos.argmax(axis=1) == want[sent] if len(sent) else False
     return prototypes
 
