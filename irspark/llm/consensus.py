@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from ..session import bounded_join, written
 
 CLASSES = (0, 1, 2)
-ROUNDS = 12
+#: Rounds at most, and the change per item of the classes' weights and of the certainty at which they end.
+ROUNDS, TOLERANCE = 15, 2e-5
 #: Pseudo-counts of the priors: for a class, for a right and for each wrong answer.
 PRIOR_CLASS, PRIOR_RIGHT, PRIOR_WRONG = 1.0, 2.0, 1.0
 MIN_LABELERS = 3
@@ -47,18 +48,22 @@ def model(labels: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame
     q = [f"q{k}" for k in CLASSES]
     item = labels.groupBy("item").agg(*((F.sum((F.col("grade") == k).cast("double")) / F.count("*")).alias(f"q{k}") for k in CLASSES), F.count("*").alias("n"))
     item = written(item, "items")
-    conf = None
+    conf, before = None, None
     for _ in range(rounds):
+        top = F.greatest(*q)
+        mass = item.agg(*(F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in q), F.coalesce(F.sum(top), F.lit(0.0)).alias("sure"), F.count("*").alias("n")).first()
+        now = [mass[c] for c in (*q, "sure")]
+        if conf is not None and before is not None and max(abs(a - b) for a, b in zip(now, before)) <= TOLERANCE * max(1, mass["n"]):
+            break
+        before = now
         joined = labels.join(item.select("item", *q), "item")
         cells = [F.sum(F.when(F.col("grade") == l, F.col(f"q{k}")).otherwise(0.0)).alias(f"b_{k}_{l}") for k in CLASSES for l in CLASSES]
         counts = joined.groupBy("labeler").agg(*cells)
         conf = written(counts.select("labeler", *((F.col(f"b_{k}_{l}") + (PRIOR_RIGHT if k == l else PRIOR_WRONG)).alias(f"b_{k}_{l}") for k in CLASSES for l in CLASSES)), "confusion")
-        mass = item.agg(*(F.sum(c).alias(c) for c in q)).first()
-        total = [PRIOR_CLASS + (mass[c] or 0.0) for c in q]
+        total = [PRIOR_CLASS + mass[c] for c in q]
         rows = {k: reduce(Column.__add__, [F.col(f"b_{k}_{l}") for l in CLASSES]) for k in CLASSES}
         # one row for each annotator and answer: the expected log-probability of that answer under each true class
         logs = conf.select("labeler", F.explode(F.array(*(F.struct(F.lit(l).alias("grade"), *((digamma(F.col(f"b_{k}_{l}")) - digamma(rows[k])).alias(f"e{k}") for k in CLASSES)) for l in CLASSES))).alias("x")).select("labeler", "x.*")
-        logs = written(logs, "logs")
         scored = bounded_join(labels, logs, ["labeler", "grade"]).groupBy("item").agg(*(F.sum(f"e{k}").alias(f"e{k}") for k in CLASSES), F.count("*").alias("n"))
         prior = [F.lit(float(t)) for t in total]
         scored = scored.select("item", "n", *((F.col(f"e{k}") + digamma(prior[k]) - digamma(F.lit(float(sum(total))))).alias(f"e{k}") for k in CLASSES))
