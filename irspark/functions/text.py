@@ -134,7 +134,8 @@ def context(title: Column, path: Column, section: Column | None = None, most: in
 def detect_lang(text: Column, host: Column, hint: Column, hosts_vi: tuple[str, ...] = (), sample: int = 4000) -> Column:
     """zh, vi, en or empty, by counts of letters among the first sample characters; then by host, then by hint."""
     s = F.left(F.coalesce(text, F.lit("")), F.lit(sample))
-    han, vi, latin = (F.regexp_count(s, F.lit(p)) for p in ("[一-鿿]", f"[{VI_LETTERS}]", "[A-Za-z]"))
+    # what is left without the others is as long as their number; no list of matches is built
+    han, vi, latin = (F.length(F.regexp_replace(s, f"[^{p}]+", "")) for p in ("一-鿿", VI_LETTERS, "A-Za-z"))
     h, two = F.coalesce(host, F.lit("")), F.left(F.coalesce(hint, F.lit("")), F.lit(2))
     return (
         F.when((han >= 10) & (han > 2 * vi), "zh").when((vi >= 5) & (vi >= 0.02 * latin), "vi").when((latin >= 100) & (vi < 0.005 * latin) & (han < 10), "en")
