@@ -26,6 +26,8 @@ from .common import batch
 
 WINDOW = 5
 BLOCK_WORDS = 400_000
+#: Places kept of a window that an item repeats.
+REPEATS = 4
 #: Share of an item's words that must stand in one stretch.
 MIN_SHARE = 0.5
 #: Accepted (share of words, share of placeholders with the item's own value): the more of the wording, the fewer values.
@@ -90,8 +92,13 @@ class Index:
         self.at = np.searchsorted(w["doc"], np.arange(len(texts) + 1))  # words of item i: at[i]..at[i+1]
         h, d = vec.shingles(w["canon"], w["doc"], WINDOW)
         pos = self._positions(w["doc"])
-        order = np.argsort(h, kind="stable")
-        self.win, self.item, self.pos = h[order], d[order], pos[order]
+        order = np.lexsort((pos, d, h))
+        h, d, pos = h[order], d[order], pos[order]
+        new = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (d[1:] != d[:-1]))) if len(h) else np.zeros(0, np.int64)
+        # a window that an item repeats stands at its first REPEATS places; shares are of the windows kept, so nothing is missed by it
+        keep = np.arange(len(h)) - np.repeat(new, np.diff(np.append(new, len(h)))) < REPEATS
+        self.win, self.item, self.pos = h[keep], d[keep], pos[keep]
+        self.windows = np.maximum(np.bincount(self.item, minlength=len(texts)), 1)
         self.filter = np.zeros(1 << 22, bool)
         self.filter[(self.win >> np.uint64(42)).astype(np.int64)] = True
 
@@ -168,7 +175,7 @@ def _searcher(index: Index):
                 continue
             size = np.diff(index.at)
             size = np.diff(index.at)
-            windows = np.maximum(size - WINDOW + 1, 1)
+            windows = index.windows
             starts = np.searchsorted(w["doc"], np.arange(b.num_rows + 1))
             own = index.same_slots(w["hash"], starts[d] + p, it, q)
             # pairs that can't reach the bounds on any band are dropped by counting

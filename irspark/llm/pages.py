@@ -284,9 +284,9 @@ def frame_lines(pages: DataFrame, model: dict | None = None) -> DataFrame:
 def blocks(pages: DataFrame, model: dict | None = None) -> DataFrame:
     """The pages with main, the text of the article's lines alone, in order and with their markup. Other columns stay."""
     model = fit(pages) if model is None else model
-    cut = frame_lines(pages, model).groupBy(F.col("id").alias("_id"), F.coalesce("session", F.lit("")).alias("_session")).agg(F.collect_set("line_no").alias("_cut"))
-    keep = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.coalesce(F.array_contains("_cut", i), F.lit(False)))
-    return pages.join(cut, (F.col("id") == F.col("_id")) & (F.coalesce("session", F.lit("")) == F.col("_session")), "left").withColumn("main", F.array_join(keep, "\n")).drop("_id", "_session", "_cut")
+    cut = frame_lines(pages, model).groupBy(F.col("id").alias("__irspark_id"), F.coalesce("session", F.lit("")).alias("__irspark_session")).agg(F.collect_set("line_no").alias("__irspark_cut"))
+    keep = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.coalesce(F.array_contains("__irspark_cut", i), F.lit(False)))
+    return pages.join(cut, (F.col("id") == F.col("__irspark_id")) & (F.coalesce("session", F.lit("")) == F.col("__irspark_session")), "left").withColumn("main", F.array_join(keep, "\n")).drop("__irspark_id", "__irspark_session", "__irspark_cut")
 
 
 def _page_maker(weights: np.ndarray):

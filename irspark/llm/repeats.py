@@ -110,7 +110,7 @@ def found(corpus: DataFrame, min_rows: int = MIN_ROWS, id: str = "id", text: str
 
 def cleaned(corpus: DataFrame, min_rows: int = MIN_ROWS, id: str = "id", text: str = "text", host: str = "host") -> DataFrame:
     """The corpus with the repeated lines cut out of text, and n_cut, the number of lines cut. Other columns stay."""
-    cut = found(corpus, min_rows, id, text, host).groupBy(F.col("id").alias("_id")).agg(F.sort_array(F.collect_list("line_no")).alias("_cut"))
-    joined = corpus.join(cut, F.col(id) == F.col("_id"), "left")
-    parts = F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains("_cut", i))
-    return joined.withColumn(text, F.when(F.col("_cut").isNull(), F.col(text)).otherwise(F.array_join(parts, "\n"))).withColumn("n_cut", F.coalesce(F.size("_cut"), F.lit(0))).drop("_id", "_cut")
+    cut = found(corpus, min_rows, id, text, host).groupBy(F.col("id").alias("__irspark_id")).agg(F.sort_array(F.collect_list("line_no")).alias("__irspark_cut"))
+    joined = corpus.join(cut, F.col(id) == F.col("__irspark_id"), "left")
+    parts = F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains("__irspark_cut", i))
+    return joined.withColumn(text, F.when(F.col("__irspark_cut").isNull(), F.col(text)).otherwise(F.array_join(parts, "\n"))).withColumn("n_cut", F.coalesce(F.size("__irspark_cut"), F.lit(0))).drop("__irspark_id", "__irspark_cut")
