@@ -78,6 +78,17 @@ def _isin(x: np.ndarray, sorted_: np.ndarray) -> np.ndarray:
     return sorted_[at] == x
 
 
+def _order(keys: tuple[np.ndarray, ...]) -> np.ndarray:
+    """Order by several keys of whole numbers from 0, as one number where they fit."""
+    size = [int(k.max()) + 1 for k in keys]
+    if np.prod(np.array(size, float)) >= 2.0**62:
+        return np.lexsort(keys[::-1])
+    x = np.zeros(len(keys[0]), np.int64)
+    for k, n in zip(keys, size):
+        x = x * n + k
+    return np.argsort(x, kind="stable")
+
+
 class Index:
     """Windows of a block of items, sorted by hash, with a bit filter in front."""
 
@@ -180,8 +191,12 @@ def _searcher(index: Index):
             own = index.same_slots(w["hash"], starts[d] + p, it, q)
             # pairs that can't reach the bounds on any band are dropped by counting
             pair = d * len(size) + it
-            n_pair, own_pair = np.bincount(pair), np.bincount(pair, own)
-            some = (n_pair[pair] >= MIN_TEMPLATE * windows[it]) | ((own_pair[pair] >= MIN_SLOTS * windows[it]) & (n_pair[pair] >= MIN_HITS * windows[it]))
+            n_pair, own_pair = np.bincount(pair), np.bincount(pair[own], minlength=int(pair.max()) + 1)
+            seen = np.flatnonzero(n_pair)
+            k = windows[seen % len(size)]
+            good = np.zeros(len(n_pair), bool)
+            good[seen] = (n_pair[seen] >= MIN_TEMPLATE * k) | ((own_pair[seen] >= MIN_SLOTS * k) & (n_pair[seen] >= MIN_HITS * k))
+            some = np.flatnonzero(good[pair])
             d, p, it, q, own = d[some], p[some], it[some], q[some], own[some]
             if not len(d):
                 continue
@@ -189,7 +204,7 @@ def _searcher(index: Index):
             width = np.maximum(size[it] // 4, 8)
             band = np.floor_divide(p - q, width)
             d, it, q, diag, band, own = np.tile(d, 2), np.tile(it, 2), np.tile(q, 2), np.tile(p - q, 2), np.concatenate([band, band + 1]), np.tile(own, 2)
-            order = np.lexsort((~own, q, band, it, d))
+            order = _order((d, it, band - band.min(), q, ~own))
             d, it, q, diag, band, own = d[order], it[order], q[order], diag[order], band[order], own[order]
             new = np.append(True, (d[1:] != d[:-1]) | (it[1:] != it[:-1]) | (band[1:] != band[:-1]))
             g = np.flatnonzero(new)
