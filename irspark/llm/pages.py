@@ -42,9 +42,9 @@ PHRASES = (
 )
 # Forms of unfilled template fields. Fields hold names, not numbers or operators.
 FIELD = (
-    r"\{\{[^{}]*\p{L}[^{}]*\}\}|[$#]\{\s*\p{L}[^{}]*\}|<%[^<>]*\p{L}[^<>]*%>|\{%[^{}]*\p{L}[^{}]*%\}|\[\[[^\[\]]*\p{L}[^\[\]]*\]\]|<<[^<>]*\p{L}[^<>]*>>"
+    r"(?=[{$#<\[@_%【])(?:\{\{[^{}]*\p{L}[^{}]*\}\}|[$#]\{\s*\p{L}[^{}]*\}|<%[^<>]*\p{L}[^<>]*%>|\{%[^{}]*\p{L}[^{}]*%\}|\[\[[^\[\]]*\p{L}[^\[\]]*\]\]|<<[^<>]*\p{L}[^<>]*>>"
     r"|@@\p{L}[\p{L}\p{M}\p{N}_. ]*@@|__\p{L}[\p{L}\p{M}\p{N}. ]*(?:_[\p{L}\p{N}.]+)*__|%\p{Lu}[\p{Lu}\p{N}_.]{2,}%|\{\p{L}[\p{L}\p{M}\p{N}_.]*(?: \p{L}[\p{L}\p{M}\p{N}_.]*){0,3}\}"
-    r"|\[\p{Lu}\p{Lu}+(?: \p{Lu}+)+\]|\[(?:请)?(?:输入|填写|插入|在此)[^\[\]]{1,20}\]|【(?:请)?(?:输入|填写|插入)?[^【】，。；！？\p{N}]{1,12}】|<\p{Ll}\p{L}*(?: \p{Ll}+){0,3}>|<\p{IsHan}{2,10}>"
+    r"|\[\p{Lu}\p{Lu}+(?: \p{Lu}+)+\]|\[(?:请)?(?:输入|填写|插入|在此)[^\[\]]{1,20}\]|【(?:请)?(?:输入|填写|插入)?[^【】，。；！？\p{N}]{1,12}】|<\p{Ll}\p{L}*(?: \p{Ll}+){0,3}>|<\p{IsHan}{2,10}>)"
 )
 
 _END = np.array([ord(c) for c in ".!?。！？;；:：”\"）)"], np.uint32)
@@ -143,7 +143,7 @@ def bare_title(title: str = "title"):
 
 def fit(pages: DataFrame, rows: int = TRAIN_ROWS, rounds: int = 60, seed: int = 3) -> dict:
     """Weights of the classifier, and its accuracy on the lines of hosts that weren't trained on."""
-    have = pages.where("id is not null and text is not null and text <> ''").select("id", "session", "host", "status", "text", title_kind().alias("kind"), F.col("text").rlike(PHRASES).alias("phrase"))
+    have = pages.where("id is not null and text is not null and text <> ''").select("id", "session", "host", "status", "text", title_kind().alias("kind"), ((F.length("text") < SHORT_PAGE) & F.col("text").rlike(PHRASES)).alias("phrase"))
     weak = (F.col("status").isin(*FAILED) | F.col("phrase")) & (F.length("text") < SHORT_PAGE)
     have = have.withColumn("weak", F.coalesce(weak, F.lit(False)))
     total, failed = have.agg(F.count("*"), F.count_if("weak")).first()
