@@ -63,7 +63,8 @@ def canonical(cp: np.ndarray, off: np.ndarray, names: np.ndarray, units: np.ndar
     folded = t["fold"](cp)
     latin = np.zeros(len(cp) + 1, np.int64)
     np.cumsum((folded >= 97) & (folded <= 122), out=latin[1:])
-    caps = (w["len"] >= NAME_LETTERS) & t["upper"](cp[s]) & (latin[e] - latin[s] >= w["len"])
+    upper = t["upper"](cp)
+    caps = (w["len"] >= NAME_LETTERS) & upper[s] & ~upper[np.minimum(s + 1, len(cp) - 1)] & (latin[e] - latin[s] >= w["len"])
     name = caps | _isin(h, names)
     unit = _isin(h, units)
     slot = np.where(number, 1, np.where(name, 2, np.where(unit, 3, 0))).astype(np.uint8)
