@@ -123,10 +123,11 @@ def sentences(cp: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
     s = np.bincount(sid[single], minlength=len(end))
     head = cp[np.minimum(_skip(cp, start, end), max(n - 1, 0))] if n else np.zeros(0, np.uint32)
     full = (stop[end - 1] if len(end) else np.zeros(0, bool)) & ((s >= MIN_SINGLE) | (a >= MIN_ALPHABETIC)) & ~np.isin(head, (35, 45, 124))
-    # letters in order, runs of others as one separator
-    prev = np.append(True, ~letter[:-1]) if n else np.zeros(0, bool)
-    use = letter | ~prev
-    x, xs = sym[use].astype(np.int32), sid[use]
+    # letters in order, runs of others as one separator; marks belong to the letter before them
+    solid = np.flatnonzero((cp < 0x300) | (cp > 0x36F))
+    letter, sid_, sym_ = letter[solid], sid[solid], sym[solid]
+    use = letter | np.append(False, letter[:-1]) if len(solid) else letter
+    x, xs = sym_[use].astype(np.int32), sid_[use]
     if len(x) >= 3:
         code = (x[:-2] << 14) | (x[1:-1] << 7) | x[2:]
         same = (xs[:-2] == xs[2:]) & full[xs[:-2]]
