@@ -219,6 +219,19 @@ ht as (select host, count(*) as total, count(*) filter (kind = 'ok') as ok, coun
 he as (select host, coalesce(status, '') as status, count(*) as n, row_number() over (partition by host order by count(*) desc, coalesce(status, '')) as r from hk where kind = 'error' group by 1, 2),
 htt as (select ht.*, coalesce(top_errors, '') as top_errors from ht left join (select host, string_agg(status || ':' || n, ', ' order by r) as top_errors from he where r <= 3 group by 1) using (host))
 """
+_CUT = "case when suffix(t, e) and length(t) > length(e) then trim(left(t, length(t) - length(e))) else t end"
+
+
+def _titles_sql(source: str) -> str:
+    return _SUF.format(src=source, least=20) + f""", ends as (select host, list(sep || tail order by -length(sep || tail), sep || tail) as ends from suf group by 1),
+t1 as (select m.*, case when {_C} and ends is not null then list_reduce(list_concat([coalesce(title, '')], ends, ends), lambda t, e: {_CUT}) else coalesce(title, '') end as tn from {source} m left join ends using (host)),
+nh as (select host, count(*) as total from t1 where {_C} group by 1),
+gen as (select host, tn from t1 join nh using (host) where {_C} and tn <> '' group by host, tn, total having count(*) >= 50 and count(*) >= 0.05 * total
+  union select host, site_name from t1 where {_C} and site_name is not null union select host, tail from suf),
+t2 as (select t1.*, coalesce({_C} and t1.tn <> '' and gen.host is not null, false) as generic from t1 left join gen on t1.host = gen.host and t1.tn = gen.tn)
+"""
+
+
 _HASH = "hs as (select id || '_p0' as unit_id, md5(coalesce(title, '') || chr(31) || coalesce(text, ''))[:12] as h, id % 8 as block from corpus)"
 _OLD = ", old as (select unit_id, case when unit_id like '%3_p0' then reverse(h) else h end as h, block from hs)"
 _MONTHS = "['jan','feb','mar','apr','may','jun','jul','aug','sep','oct','nov','dec']"
@@ -230,6 +243,15 @@ select id, url, coalesce(attempts, 0) as attempts, coalesce(attempts, 0) >= 3 as
     "winners": _WIN + "select id, status, session, cast(xv as bigint) as xv, processed_at, attempts from win",
     "boilerplate": _WIN + _marked_sql(4) + "select id, host, text_hash from marked where status = 'boilerplate'",
     "dup_groups": _WIN + _marked_sql(4) + "select id, dup_of from marked where dup_of is not null",
+    "clean_titles": _WIN + _titles_sql("win") + "select id, case when generic then '' else tn end as title_new, generic from t2",
+    "corpus_merge": _WIN + _marked_sql(quality.BOILERPLATE_ROWS) + _titles_sql("marked") + f""", da as (select host, author from t2 join nh using (host) where {_C} and author <> '' group by host, author, total having count(*) >= 20 and count(*) >= 0.3 * total),
+kx as (select host, unnest(list_distinct(string_split(coalesce(keywords, ''), '; '))) as kw from t2 where {_C}),
+ck as (select host, list(kw) as common from (select host, kw from kx join nh using (host) where kw <> '' group by host, kw, total having count(*) >= 20 and count(*) >= 0.3 * total) group by 1),
+x as (select t2.id, t2.host, status, case when generic then '' else tn end as title, case when {_C} and da.host is not null then '' else coalesce(t2.author, '') end as author,
+  case when {_C} and common is not null then array_to_string(list_filter(string_split(coalesce(keywords, ''), '; '), lambda k: k <> '' and not list_contains(common, k)), '; ') else coalesce(keywords, '') end as keywords,
+  dup_of, concat_ws(',', case when dup_of is not null then 'dup' end, case when generic then 'generic_title' end, case when status = 'empty' then 'short' end) as flags, attempts
+  from t2 left join da on t2.host = da.host and t2.author = da.author left join ck on t2.host = ck.host)
+select * from x where status = 'ok' or (status = 'empty' and title <> '')""",
     "site_suffixes": _WIN + _SUF.format(src="win", least=10) + "select host, sep, tail, n from suf",
     "default_authors": _WIN + f", n as (select host, count(*) as total from win where {_C} group by 1) select host, author, count(*) as n from win join n using (host) where {_C} and author <> '' group by host, author, total having count(*) >= 5 and count(*) >= 0.05 * total",
     "common_keywords": _WIN + f", n as (select host, count(*) as total from win where {_C} group by 1), k as (select host, unnest(list_distinct(string_split(coalesce(keywords, ''), '; '))) as keyword from win where {_C}) select host, keyword, count(*) as n from k join n using (host) where keyword <> '' group by host, keyword, total having count(*) >= 5 and count(*) >= 0.05 * total",
