@@ -188,3 +188,9 @@ def head_term(term: Column) -> Column:
 def code(qid: Column, unit: Column, salt: str) -> Column:
     """Blind code of a judging item."""
     return F.left(F.md5(F.concat_ws(":", F.lit(salt), qid.cast("string"), unit)), F.lit(8))
+
+
+def blocked_notice(status: Column, title: Column, text: Column, pattern: str) -> Column:
+    """A notice whose phrases ask for proof of being human is a block, which has its own rules for trying again."""
+    words = F.concat_ws(" ", title, text)
+    return F.when((status == "notice") & words.rlike(pattern), "blocked_notice").otherwise(status)

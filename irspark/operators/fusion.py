@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .runs import to_parents
+
 RRF_K = 60
 
 
@@ -46,3 +48,13 @@ def rrf(runs: DataFrame, cfg: DataFrame, depth: int, k: int | DataFrame = RRF_K,
     w = Window.partitionBy(*keys, "qid").orderBy(F.desc("score"), "best", "unit_id")
     out = s.select(*keys, "qid", "unit_id", "doc_id", F.row_number().over(w).cast("long").alias("rank"), "score")
     return out if cut is None else out.where(F.col("rank") <= cut)
+
+
+def levels(parents: DataFrame, children: DataFrame, depth: int, child_factor: int = 3, k: int = RRF_K) -> DataFrame:
+    """One list per branch and query from its search over parents and its search over children: children are taken child_factor times
+    as deep, become their parents, are cut at depth, and both lists are fused with equal weight."""
+    c = to_parents(children.where(F.col("rank") <= child_factor * depth)).where(F.col("rank") <= depth)
+    both = parents.where(F.col("rank") <= depth).select(c.columns).unionByName(c)
+    s = both.groupBy("branch", "qid", "unit_id", "doc_id").agg(F.round(F.sum(1 / (k + F.col("rank"))), 12).alias("score"), F.min("rank").alias("best"))
+    w = Window.partitionBy("branch", "qid").orderBy(F.desc("score"), "best", "unit_id")
+    return s.select("branch", "qid", "unit_id", "doc_id", F.row_number().over(w).cast("long").alias("rank"), "score").where(F.col("rank") <= depth)

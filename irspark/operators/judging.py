@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .rank import places
 
 
 def tertile(n_rows: str, place: str):
@@ -16,11 +17,13 @@ def tertile(n_rows: str, place: str):
 def strata(queries: DataFrame, pairs: DataFrame) -> DataFrame:
     """(qid, len, disagree, len_bin, dis_bin): tertiles of the query's length and of the branches' mean disagreement.
 
-    queries (qid, query), one row a query; pairs as diag.pairwise gives them. The places are global ranks of one short row a query.
+    queries (qid, query), one row a query; pairs as diag.pairwise gives them. The places are ranks over all queries, computed in ranges of values where there are very many.
     """
     j = pairs.groupBy("qid").agg(F.avg("jaccard").alias("j"))
     x = queries.join(j, "qid", "left").select("qid", F.length("query").cast("long").alias("len"), F.round(1 - F.coalesce("j", F.lit(0.0)), 6).alias("disagree"))
-    x = x.withColumn("a", F.row_number().over(Window.orderBy("len", "qid"))).withColumn("b", F.row_number().over(Window.orderBy("disagree", "qid"))).crossJoin(F.broadcast(queries.agg(F.count("*").alias("n"))))
+    x = x.withColumns({"_all": F.lit(0), "_l": -F.col("len"), "_d": -F.col("disagree")})
+    x = places(x, ["_all"], "_l", ["qid"]).withColumnRenamed("place", "a")
+    x = places(x, ["_all"], "_d", ["qid"]).withColumnRenamed("place", "b").crossJoin(F.broadcast(queries.agg(F.count("*").alias("n"))))
     return x.select("qid", "len", "disagree", tertile("n", "a").alias("len_bin"), tertile("n", "b").alias("dis_bin"))
 
 
@@ -28,8 +31,9 @@ def select(strata_: DataFrame, n: int, pilot: int, seed: str = "13") -> DataFram
     """(qid, set): as many from each of the nine strata, the rest at random (order of an md5 of the id), the first pilot as pilot."""
     h = F.md5(F.concat_ws(":", F.lit(seed), F.col("qid").cast("string")))
     x = strata_.select("qid", h.alias("h"), F.row_number().over(Window.partitionBy("len_bin", "dis_bin").orderBy(h)).alias("r"))
-    k = F.row_number().over(Window.orderBy((F.col("r") > max(1, n // 9)).cast("int"), "h"))
-    return x.select("qid", k.alias("k")).where(F.col("k") <= n).select("qid", F.when(F.col("k") <= pilot, "pilot").otherwise("main").alias("set"))
+    x = x.withColumn("late", (F.col("r") > max(1, n // 9)).cast("int")).orderBy("late", "h").limit(n)  # n rows from here on
+    k = F.row_number().over(Window.orderBy("late", "h"))
+    return x.select("qid", k.alias("k")).select("qid", F.when(F.col("k") <= pilot, "pilot").otherwise("main").alias("set"))
 
 
 def pool(runs: DataFrame, specs: list[tuple[str, int]]) -> DataFrame:

@@ -83,3 +83,52 @@ def copies(pairs: DataFrame, examples: list[tuple[str, str]], bar: float = 0.8)
         return pd.Series([any(diff_ratio(y, et) > bar >= diff_ratio(x, eq) for eq, et in examples) for x, y in zip(q.fillna(""), t.fillna(""))])
 
     return pairs.where(copied("query", "en")).select("qid")
+
+
+def questions_and_acronyms(pairs: DataFrame) -> DataFrame:
+    """Totals: queries with several questions and translations that keep their number; acronyms and those that stand in the translations."""
+    n = F.regexp_count("query", F.lit(r"\?"))
+    marks = lambda c: F.regexp_count(F.coalesce(c, F.lit("")), F.lit("[?？]"))
+    acr = F.filter(F.array_distinct(F.split("query", r"[^\p{L}\p{N}]+")), lambda x: x.rlike("^[A-Z][A-Z0-9]+$"))
+    kept = lambda c: F.size(F.filter(acr, lambda a: F.contains(F.lower(F.coalesce(c, F.lit(""))), F.lower(a))))
+    x = pairs.where("query is not null")
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    return x.agg(
+        F.count_if(n >= 2).alias("several"), F.count_if((n >= 2) & (marks(F.col("en")) >= n)).alias("en_questions"), F.count_if((n >= 2) & (marks(F.col("zh")) >= n)).alias("zh_questions"),
+        total(F.size(acr)).alias("acronyms"), total(kept(F.col("en"))).alias("en_acronyms"), total(kept(F.col("zh"))).alias("zh_acronyms"),
+    )
+
+
+def sign_test(wins: int, losses: int) -> float:
+    """Two-sided binomial probability of so uneven a result; ties don't count."""
+    from math import comb
+
+    n = wins + losses
+    return min(1.0, 2 * sum(comb(n, i) for i in range(min(wins, losses) + 1)) / 2**n) if n else 1.0
+
+
+def blind_pairs(pairs: DataFrame, n: int, seed: str = "13", done: DataFrame | None = None) -> DataFrame:
+    """(qid, query, left, right, swapped) of n queries for a blind comparison of translations a and b: a third from each tertile of length in
+    the order of a hash, the rest where a and b differ most. Queries in done and those with equal or missing translations are left out."""
+
+    @F.pandas_udf("double")
+    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([diff_ratio(x, y) for x, y in zip(a, b)])
+
+    x = pairs.where("a is not null and b is not null and a <> b")
+    x = x if done is None else x.join(done.select("qid"), "qid", "left_anti")
+    h = F.md5(F.concat_ws(":", F.lit(seed), F.col("qid").cast("string")))
+    q = x.agg(F.percentile_approx(F.length("query"), [1 / 3, 2 / 3], 10_000).alias("q"))
+    x = x.withColumn("h", h).crossJoin(F.broadcast(q)).withColumn("tier", (F.length("query") > F.col("q")[0]).cast("int") + (F.length("query") > F.col("q")[1]).cast("int"))
+    x = x.withColumn("r", F.row_number().over(Window.partitionBy("tier").orderBy("h"))).withColumn("alike", alike("a", "b"))
+    x = x.orderBy((F.col("r") > n // 6).cast("int"), F.when(F.col("r") > n // 6, F.col("alike")).otherwise(0), "h").limit(n)
+    flip = F.conv(F.left("h", F.lit(1)), 16, 10).cast("int") % 2 == 1
+    return x.select("qid", "query", F.when(flip, F.col("b")).otherwise(F.col("a")).alias("left"), F.when(flip, F.col("a")).otherwise(F.col("b")).alias("right"), flip.alias("swapped"))
+
+
+def blind_result(key: DataFrame, votes: DataFrame) -> dict:
+    """Wins of a and b and ties from votes (qid, better: left, right or tie, severe_left, severe_right), with the sign test's p."""
+    x = key.join(votes, "qid")
+    a = F.when(F.col("better") == "tie", "tie").when((F.col("better") == "left") != F.col("swapped"), "a").otherwise("b")
+    r = x.agg(*(F.count_if(a == k).alias(k) for k in ("a", "b", "tie")), F.count_if(F.when(F.col("swapped"), F.col("severe_right")).otherwise(F.col("severe_left"))).alias("severe_a"), F.count_if(F.when(F.col("swapped"), F.col("severe_left")).otherwise(F.col("severe_right"))).alias("severe_b")).first().asDict()
+    return r | {"p": sign_test(r["a"], r["b"])}

@@ -69,11 +69,9 @@ def rrf_configs(spark, sf):
 
 
 def rrf_levels(spark, sf):
-    """Parents and children as two lists of one branch."""
+    """Parents and children of one branch as two lists."""
     r = _runs(spark, sf).where("branch = 'vi_dense'")
-    child = runs.to_parents(r.where("rank <= 300").withColumn("unit_id", F.concat("unit_id", F.lit("_c0")))).withColumn("branch", F.lit("children"))
-    both = r.withColumn("branch", F.lit("parents")).select(child.columns).unionByName(child)
-    return fusion.rrf(both, fusion.config(spark, {"vi_dense": ["parents", "children"]}), DEPTH, cut=100)
+    return fusion.levels(r, r.withColumn("unit_id", F.concat("unit_id", F.lit("_c0"))), 100)
 
 
 def pairwise_overlap(spark, sf):
@@ -197,8 +195,10 @@ select qid, unit_id, doc_id, part, row_number() over (partition by qid order by
 f as (select qid, unit_id, doc_id, min({'r': rank, 'n': no}) as w_ from numbered group by 1, 2, 3)
 select * from (select qid, unit_id, doc_id, row_number() over (partition by qid order by w_, unit_id) as rank from f) where rank <= 50""",
     "rrf_configs": RANKED + _rrf(CONFIGS, 100) + "select config, qid, unit_id, doc_id, rank, score from fused",
-    "rrf_levels": RANKED + """, lv as (select 'parents' as branch, qid, unit_id, doc_id, rank from ranked where branch = 'vi_dense'
- union all select 'children', qid, unit_id, doc_id, rank from ranked where branch = 'vi_dense' and rank <= 300)""" + _rrf({"vi_dense": ["parents", "children"]}, 100, "lv") + "select config, qid, unit_id, doc_id, rank, score from fused",
+    "rrf_levels": RANKED + """, c as (select branch, qid, unit_id, doc_id, row_number() over (partition by branch, qid order by rank, unit_id) as rank from ranked where branch = 'vi_dense' and rank <= 300),
+both_ as (select branch, qid, unit_id, doc_id, rank from ranked where branch = 'vi_dense' and rank <= 100 union all select * from c where rank <= 100),
+s as (select branch, qid, unit_id, doc_id, round(sum(1 / (60 + rank)), 12) as score, min(rank) as best from both_ group by 1, 2, 3, 4)
+select branch, qid, unit_id, doc_id, rank, score from (select *, row_number() over (partition by branch, qid order by score desc, best, unit_id) as rank from s) where rank <= 100""",
     "pairwise_overlap": RANKED + _PAIR.format(k=TOP, names=_B) + "select a, b, count(*) as n_q, round(avg(jaccard), 9) as jaccard, round(avg(overlap), 9) as overlap, round(avg(rbo), 9) as rbo from v group by all",
     "pairwise_per_query": RANKED + _PAIR.format(k=10, names="'vi_dense', 'en_dense', 'zh_dense'") + "select a, b, qid, jaccard, overlap, rbo from v",
     "exclusive_docs": _DOCS + f""", t as (select branch, qid, doc_id from docs where rank <= {TOP} and branch in ({_B})),

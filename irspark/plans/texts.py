@@ -126,6 +126,10 @@ def translation_summary(spark, sf):
     return translate.summary(translate.checks(_pairs(spark, sf)))
 
 
+def translation_questions(spark, sf):
+    return translate.questions_and_acronyms(_pairs(spark, sf))
+
+
 def query_fallback(spark, sf):
     return src.with_fallback(src.query_texts(_t(spark, sf, "queries")), "zh")
 
@@ -183,7 +187,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         plain_text, text_hashes, line_markers, detect_lang, notices, outcomes, host_suffix_filter, host_rules, shard_filter, link_numbers, keywords, tidy_paths, contexts, unit_inputs, blind_codes, unit_algebra, norm_dates,
-        translation_checks, translation_summary, query_fallback, glossary_hits, copied_translations, page_extract, kernel_lines,
+        translation_checks, translation_summary, translation_questions, query_fallback, glossary_hits, copied_translations, page_extract, kernel_lines,
     )
 }
 
@@ -230,5 +234,9 @@ select url, case when h = 'example' or h like '%.example' then 'knowledge' when
     "norm_dates": "select o_orderkey, form, case when form < 6 or epoch(date_trunc('day', o_orderdate)) >= 1000000000 then strftime(o_orderdate, '%Y-%m-%d') end as iso from orders, range(7) as r(form) where o_orderkey % 8 = 1",
     "translation_checks": _CHECKS + "select qid, en_script, zh_script, en_numbers, zh_numbers, round(en_ratio, 6) as en_ratio, round(zh_ratio, 6) as zh_ratio, en_ratio < 0.5 as en_short, zh_ratio < 0.15 as zh_short from c",
     "translation_summary": _CHECKS + "select count(*) as n, count(*) filter (en_script) as en_script, count(*) filter (zh_script) as zh_script, count(*) filter (en_numbers) as en_numbers, count(*) filter (zh_numbers) as zh_numbers, round(median(en_ratio), 6) as en_ratio, round(median(zh_ratio), 6) as zh_ratio, count(*) filter (en_ratio < 0.5) as en_short, count(*) filter (zh_ratio < 0.15) as zh_short from c",
+    "translation_questions": f"""with {_QT}, p as (select v.query, coalesce(e.query, '') as en, coalesce(z.query, '') as zh from qt v left join qt e on e.qid = v.qid and e.lang = 'en' left join qt z on z.qid = v.qid and z.lang = 'zh' where v.lang = 'vi'),
+x as (select *, {_count('[?]', 'query')} as n, list_filter(list_distinct(regexp_split_to_array(query, '[^\\p{{L}}\\p{{N}}]+')), lambda t: regexp_full_match(t, '[A-Z][A-Z0-9]+')) as acr from p)
+select count(*) filter (n >= 2) as several, count(*) filter (n >= 2 and {_count('[?？]', 'en')} >= n) as en_questions, count(*) filter (n >= 2 and {_count('[?？]', 'zh')} >= n) as zh_questions, cast(sum(len(acr)) as bigint) as acronyms,
+  cast(sum(len(list_filter(acr, lambda a: contains(lower(en), lower(a))))) as bigint) as en_acronyms, cast(sum(len(list_filter(acr, lambda a: contains(lower(zh), lower(a))))) as bigint) as zh_acronyms from x""",
     "query_fallback": f"with {_QT} select coalesce(a.qid, b.qid) as qid, coalesce(a.query, b.query) as query, case when a.query is not null then 'zh' else 'vi' end as used from (select * from qt where lang = 'zh') a full join (select * from qt where lang = 'vi') b on a.qid = b.qid",
 }

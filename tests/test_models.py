@@ -72,3 +72,36 @@ def test_incremental_blocks(spark):
     assert fp(a)[0] == fp(b)[0] and fp(a)[1] != fp(b)[1]
     assert [r["unit_id"] for r in chunking.pending(b, a).collect()] == ["u3"]
     assert sorted(r["unit_id"] for r in chunking.still_valid(a.union(a), b).collect()) == ["u1", "u2"]
+
+
+def test_blind_comparison(spark):
+    from irspark.operators import translate
+
+    rows = [(i, "q" * (i + 1), f"a {i}", f"b {i} {'x' * i}") for i in range(30)] + [(99, "q", "same", "same"), (98, "q", None, "b")]
+    x = translate.blind_pairs(spark.createDataFrame(rows, "qid long, query string, a string, b string"), 12, done=spark.createDataFrame([(3,)], "qid long"))
+    key = x.toPandas()
+    assert len(key) == 12 and not {3, 98, 99} & set(key.qid) and key.swapped.nunique() == 2
+    votes = spark.createDataFrame([(int(q), "right" if s else "left", False, False) for q, s in zip(key.qid, key.swapped)], "qid long, better string, severe_left boolean, severe_right boolean")
+    r = translate.blind_result(x, votes)
+    assert r["a"] == 12 and r["b"] == 0 and r["p"] < 0.001 and translate.sign_test(0, 0) == 1.0
+
+
+def test_header_dates_and_small_kernels(spark):
+    import datetime
+
+    from irspark.functions import dates, kernels
+    from irspark.functions import text as T
+    from irspark.operators.hosts import Limiter
+
+    day = datetime.date(2026, 1, 1)
+    assert dates.header_date(["# Title", "Ngày đăng: 27/08/2009"], day) == "2009-08-27" and dates.header_date(["Hà Vũ • 14/04/2025 - 19:25"], day) == "2025-04-14"
+    assert dates.header_date(["In a long sentence that mentions the day 14/04/2025 somewhere in its text"], day) is None and dates.header_date(["x"] * 5 + ["2020-01-01"], day) is None
+    assert dates.read_date("March 3, 2020", day) == "2020-03-03" and dates.read_date("31/02/2020", day) is None and dates.read_date("1700000000", day) == "2023-11-14"
+    assert kernels.decoded_lines(["&amp;#8226; a", "***", "---", "b"]) == ["&#8226; a", "---", "b"]
+    df = spark.createDataFrame([("notice", "t", "please solve the captcha"), ("notice", "t", "gone"), ("ok", "t", "captcha")], "s string, t string, x string")
+    assert [r[0] for r in df.select(T.blocked_notice(F.col("s"), F.col("t"), F.col("x"), "(?i)captcha")).collect()] == ["blocked_notice", "notice", "ok"]
+    now, slept = [0.0], []
+    lim = Limiter(2, lambda: now[0], lambda s: slept.append(s) or now.__setitem__(0, now[0] + s))
+    for _ in range(3):
+        lim.wait()
+    assert slept == [0.5, 0.5]
