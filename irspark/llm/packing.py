@@ -114,13 +114,14 @@ def _best_fit(capacity: int, shards: int, first: int):
 
 def pack(counts: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS, shard_items: int = SHARD_ITEMS) -> DataFrame:
     """(doc_id, part, n_tokens, container) for (doc_id, n_tokens)."""
-    counts = written(counts.where("n_tokens > 0"), "counts")
+    # a number of its own for every row, fixed by writing it: repeated rows spread over shards like any others
+    counts = written(counts.where("n_tokens > 0").withColumn("row", F.monotonically_increasing_id()), "counts")
     spark = counts.sparkSession
     whole, rest = F.floor(F.col("n_tokens") / capacity), F.col("n_tokens") % capacity
-    pieces = counts.select("doc_id", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n_tokens") / capacity) - 1), lambda p: F.struct(p.alias("part"), F.when(p < whole, capacity).otherwise(rest).alias("n_tokens")))).alias("x")).select("doc_id", F.col("x.part").cast("int").alias("part"), F.col("x.n_tokens").cast("int").alias("n_tokens"))
+    pieces = counts.select("doc_id", "row", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n_tokens") / capacity) - 1), lambda p: F.struct(p.alias("part"), F.when(p < whole, capacity).otherwise(rest).alias("n_tokens")))).alias("x")).select("doc_id", "row", F.col("x.part").cast("int").alias("part"), F.col("x.n_tokens").cast("int").alias("n_tokens"))
     n = counts.count()
     shards = max(1, -(-n // shard_items))
-    items = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "part"), F.lit(shards)).cast("int"))
+    items = pieces.withColumn("shard", F.pmod(F.xxhash64("row", "part"), F.lit(shards)).cast("int"))
     # numbers within (size, shard), then offsets of the larger sizes and earlier shards: no sort of all items in one task
     hist = items.groupBy("n_tokens", "shard").agg(F.count("*").alias("c"))
     by_size = {r["n_tokens"]: r["c"] for r in hist.groupBy("n_tokens").agg(F.sum("c").alias("c")).collect()}  # capacity rows at most
@@ -134,7 +135,7 @@ def pack(counts: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS, shar
         before += by_size[s] if s != capacity else 0
     starts = spark.createDataFrame([(int(s), int(v)) for s, v in start.items()], "n_tokens int, _start long")
     offsets = written(hist.where(F.col("n_tokens") > LARGE * capacity).withColumn("_off", F.coalesce(F.sum("c").over(w), F.lit(0))).join(F.broadcast(starts), "n_tokens").select("n_tokens", "shard", (F.col("_off") + F.col("_start")).alias("_first")), "offsets")
-    number = Window.partitionBy("n_tokens", "shard").orderBy("doc_id", "part")
+    number = Window.partitionBy("n_tokens", "shard").orderBy("doc_id", "part", "row")
     placed = bounded_join(items.where(F.col("n_tokens") > LARGE * capacity).withColumn("_no", F.row_number().over(number) - 1), offsets, ["n_tokens", "shard"]).withColumn("pos", F.col("_first") + F.col("_no"))
     filled = placed.where(F.col("n_tokens") == capacity).select("doc_id", "part", "n_tokens", F.col("pos").alias("container"))
     # groups of equal count by place; each is rounded up to its first, which is its largest

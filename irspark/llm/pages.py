@@ -276,8 +276,8 @@ def frame_lines(pages: DataFrame, model: dict | None = None) -> DataFrame:
         .otherwise(True)
     )
     x = x.select("id", "session", "line_no", frame.alias("frame"), (~frame & article & F.col("form").isin(_SENTENCE, _ROW)).alias("body"))
-    # rows with an article: line counts per row are bounded by the page, so one row's lines are gathered
-    whole = x.groupBy("id", "session").agg(F.max("body").alias("body"), F.array_distinct(F.collect_list(F.when(F.col("frame"), F.col("line_no")))).alias("frame"))
+    # a set of line numbers is bounded by the page, however often its row is repeated
+    whole = x.groupBy("id", "session").agg(F.max("body").alias("body"), F.collect_set(F.when(F.col("frame"), F.col("line_no"))).alias("frame"))
     return whole.where("body").select("id", F.when(F.col("session") != "", F.col("session")).alias("session"), F.explode("frame").alias("line_no"))
 
 
