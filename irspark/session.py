@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +14,20 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 1_000_000
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application, so that they need neither an installation nor the driver's folder."""
+    sc = spark.sparkContext
+    if getattr(sc, "_irspark_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    path = Path(tempfile.mkdtemp(prefix="irspark-code-")) / "irspark.zip"  # the driver serves it from here
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, Path("irspark") / f.relative_to(root))
+    sc.addPyFile(str(path))
+    sc._irspark_shipped = True
+
+
 def work_root(spark: SparkSession) -> str:
     """The shared folder of the cluster (spark.checkpoint.dir); one of its own only where that is unset, as in tests."""
     conf = spark.sparkContext.getConf()
