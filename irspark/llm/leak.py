@@ -38,6 +38,8 @@ ACCEPTED = ((MIN_SHARE, 0.5), (0.65, 0.2), (0.75, 0.0))
 MIN_SLOTS, MIN_HITS, MIN_TEMPLATE = 0.06, 0.12, 0.35
 #: Letters of a capitalised word that is taken for a name.
 NAME_LETTERS = 6
+#: A name in more than this share of the items is an ordinary word for the check of values.
+COMMON_NAME = 0.02
 
 # Units that become a placeholder, after folding.
 UNITS = ("mg", "g", "kg", "ml", "l", "cm", "mm", "毫克", "ngay", "phut", "lan", "days", "minutes", "times", "jours", "minutes", "fois")
@@ -101,6 +103,11 @@ class Index:
         self.names = np.unique(first["hash"][first["caps"]])
         w = canonical(cp, off, self.names, self.units)
         self.hash, self.slot, self.doc = w["hash"], w["slot"], w["doc"]
+        # a capitalised word that many items have says as little as any other
+        name = self.slot == 2
+        pairs = np.unique(np.stack([self.hash[name], self.doc[name].astype(np.uint64)]), axis=1)
+        h, n = np.unique(pairs[0], return_counts=True)
+        self.own = (self.slot == 1) | (name & ~_isin(self.hash, h[n > max(2, COMMON_NAME * len(texts))]))
         self.at = np.searchsorted(w["doc"], np.arange(len(texts) + 1))  # words of item i: at[i]..at[i+1]
         h, d = vec.shingles(w["canon"], w["doc"], WINDOW)
         pos = self._positions(w["doc"])
@@ -131,7 +138,7 @@ class Index:
         same = np.ones(len(i), bool)
         for k in range(WINDOW):
             x, y = np.minimum(i + k, len(words) - 1), np.minimum(j + k, len(self.hash) - 1)
-            slot = (self.slot[y] == 1) | (self.slot[y] == 2)
+            slot = self.own[y]
             n += slot
             same &= ~slot | (words[x] == self.hash[y])
         return same & (n > 0)
@@ -228,8 +235,8 @@ def _searcher(index: Index):
                 if share < MIN_SHARE / 2 or share <= rows.get((doc, item), (0,))[0]:
                     continue
                 common = _in_order(words.tolist(), text.tolist()) / m
-                slots = index.slot[index.at[item] : index.at[item + 1]]
-                rows[doc, item] = (share, common, int((slots > 0).sum()), int(((slots > 0) & run).sum()))
+                slots = index.own[index.at[item] : index.at[item + 1]]
+                rows[doc, item] = (share, common, int(slots.sum()), int((slots & run).sum()))
             if rows:
                 keys = list(rows)
                 v = list(rows.values())
