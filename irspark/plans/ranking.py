@@ -60,8 +60,8 @@ def interleave_union(spark, sf):
 
 
 def _fused(spark, sf, cut=None):
-    r = _runs(spark, sf)
-    return fusion.rrf(r, fusion.config(spark, fusion.complete(r, CONFIGS)), DEPTH, cut=cut)
+    have = fusion.complete(_t(spark, sf, "runs"), CONFIGS)  # names only, without ranking
+    return fusion.rrf(_runs(spark, sf), fusion.config(spark, have), DEPTH, cut=cut)
 
 
 def rrf_configs(spark, sf):
