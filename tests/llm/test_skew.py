@@ -3,6 +3,9 @@
 import random
 from collections import defaultdict
 
+import numpy as np
+import pyarrow as pa
+
 from irspark.llm import borda, near, packing, repeats, topn
 from test_problems import grams, repeated_lines, sentence, word
 
@@ -42,6 +45,34 @@ def test_hot_class_of_copies(spark):
     assert classes[0] == {*range(120), *range(130, 140)}
 
 
+def test_versions_of_a_text_that_many_rows_copy(spark):
+    rng = random.Random(3)
+    base = [word(rng) for _ in range(60)]
+    texts = [" ".join(base)] * 120 + [" ".join([*base[:45], *(word(rng) for _ in range(15))]) for _ in range(40)] + [" ".join(word(rng) for _ in range(60)) for _ in range(200)]
+    g = {i: grams(texts[i]) for i in (0, *range(120, 360))}
+    want = {(a, b) for a in g for b in g if a < b and 2 * len(g[a] & g[b]) >= len(g[a] | g[b])}
+    assert len([1 for a, _ in want if a == 0]) == 40
+    for hot in (near.HOT, 1000):  # compared within buckets, and as written pairs
+        _, p = near.near(spark.createDataFrame([(0, 0, i, 0, t) for i, t in enumerate(texts)], near.ROWS), hot=hot)
+        got = {(r["a"], r["b"]) for r in p.collect()}
+        assert got <= want and len(got) >= 0.98 * len(want) and len([1 for a, _ in got if a == 0]) >= 39
+
+
+def test_bounds_keep_every_pair_over_the_threshold():
+    rng = np.random.default_rng(4)
+    pool = rng.integers(1, 1 << 63, 3000, dtype=np.uint64)
+    sets = [rng.choice(pool[: 3000 if k % 3 else 400], int(rng.choice([2, 30, 250, 2400 if k % 3 else 380])), replace=False) for k in range(60)]
+    sets += [np.append(x[: len(x) * 3 // 4], rng.integers(1, 1 << 63, len(x) // 5, dtype=np.uint64)) for x in sets]
+    size = np.array([len(x) for x in sets])
+    sketch, over = near._sketches(np.concatenate(sets), np.cumsum(size) - size, size)
+    t = pa.table({"tab": pa.array([0] * 120, pa.int32()), "rep": pa.array(range(120), pa.int64()), "n": pa.array(size, pa.int32()), "over": over, "sketch": pa.array([x.tobytes() for x in sketch], pa.binary())})
+    found = near._within(t)
+    got = set(zip(found.column("a").to_pylist(), found.column("b").to_pylist()))
+    s = [set(x.tolist()) for x in sets]
+    want = {(a, b) for a in range(120) for b in range(a + 1, 120) if 3 * len(s[a] & s[b]) >= len(s[a]) + len(s[b])}
+    assert len(want) >= 50 and want <= got and over.max() > 0
+
+
 def test_hot_repeated_row_is_packed_as_often_as_it_occurs(spark):
     rows = [(1, 100)] * 5000 + [(i, 700) for i in range(2, 3000)]
     p = packing.pack(spark.createDataFrame(rows, "doc_id long, n_tokens int"), 1024, 16, 300).toPandas()
