@@ -221,7 +221,7 @@ def _searcher(index: Index):
             lo, hi = np.minimum.reduceat(diag, g), np.maximum.reduceat(diag, g)
             k = windows[it[g]]
             ok = np.flatnonzero((n >= MIN_TEMPLATE * k) | ((n_own >= MIN_SLOTS * k) & (n >= MIN_HITS * k)))
-            rows: dict[tuple[int, int], tuple] = {}
+            rows: dict[tuple, None] = {}  # every stretch, as the one with most words need not be the one with the item's values
             for k in ok:
                 doc, item = int(d[g[k]]), int(it[g[k]])
                 words = index.hash[index.at[item] : index.at[item + 1]]
@@ -232,16 +232,15 @@ def _searcher(index: Index):
                 text = w["hash"][a:e]
                 run = _runs(words, text)
                 share = run.sum() / m
-                if share < MIN_SHARE / 2 or share <= rows.get((doc, item), (0,))[0]:
+                if share < MIN_SHARE / 2:
                     continue
                 common = _in_order(words.tolist(), text.tolist()) / m
                 slots = index.own[index.at[item] : index.at[item + 1]]
-                rows[doc, item] = (share, common, int(slots.sum()), int((slots & run).sum()))
+                rows[doc, item, share, common, int(slots.sum()), int((slots & run).sum())] = None
             if rows:
-                keys = list(rows)
-                v = list(rows.values())
+                v = [x[2:] for x in rows]
                 yield batch(
-                    item_id=pa.array([int(index.ids[i]) for _, i in keys], pa.int64()), doc_id=b.column("doc_id").take(pa.array([x for x, _ in keys])),
+                    item_id=pa.array([int(index.ids[i]) for _, i, *_ in rows], pa.int64()), doc_id=b.column("doc_id").take(pa.array([x for x, *_ in rows])),
                     share=pa.array([round(float(x[0]), 4) for x in v]), in_order=pa.array([round(float(x[1]), 4) for x in v]), slots=pa.array([x[2] for x in v], pa.int64()), slots_same=pa.array([x[3] for x in v], pa.int64()),
                 )
 

@@ -292,6 +292,24 @@ def test_leaks(spark):
     assert p == 1.0 and r > 0.97
 
 
+def _template(rng, n=60):
+    """An item whose second half holds most numbers, a sibling with other numbers, and other text."""
+    words = [word(rng) for _ in range(n)]
+    at = [10, *range(34, n, 3)]
+    put = lambda low: [str(low + k) if k in at else w for k, w in enumerate(words)]
+    return put(1000), put(5000), [word(rng) for _ in range(150)]
+
+
+def _leaks(spark, item, *docs):
+    one = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    return {r["doc_id"] for r in leak.found(one, spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id long, text string")).collect()}
+
+
+def test_leak_beside_a_sibling_with_more_words(spark):
+    item, sibling, other = _template(random.Random(11))
+    assert _leaks(spark, item, sibling + other + item[29:] + other, sibling + other) == {0}
+
+
 @given(st.lists(st.integers(0, 4), max_size=12), st.lists(st.integers(0, 4), max_size=12))
 def test_in_order(a, b):
     t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
