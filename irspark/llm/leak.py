@@ -30,7 +30,7 @@ BLOCK_WORDS = 400_000
 REPEATS = 4
 #: Share of an item's words that must stand in one stretch.
 MIN_SHARE = 0.5
-#: Accepted (share of words, share of placeholders with the item's own value): the more of the wording, the fewer values.
+#: Accepted (share of words, share of placeholders of the part found with the item's own value): the more of the wording, the fewer values.
 #: Texts of one template agree in up to two thirds of a short item's words, but in few of its values.
 ACCEPTED = ((MIN_SHARE, 0.5), (0.65, 0.2), (0.75, 0.0))
 #: Shares of an item's windows for the check: hits that hold a number or name and agree in all of them together with hits of any
@@ -221,6 +221,7 @@ def _searcher(index: Index):
             lo, hi = np.minimum.reduceat(diag, g), np.maximum.reduceat(diag, g)
             k = windows[it[g]]
             ok = np.flatnonzero((n >= MIN_TEMPLATE * k) | ((n_own >= MIN_SLOTS * k) & (n >= MIN_HITS * k)))
+            ends = np.append(g[1:], len(d))
             rows: dict[tuple, None] = {}  # every stretch, as the one with most words need not be the one with the item's values
             for k in ok:
                 doc, item = int(d[g[k]]), int(it[g[k]])
@@ -235,8 +236,14 @@ def _searcher(index: Index):
                 if share < MIN_SHARE / 2:
                     continue
                 common = _in_order(words.tolist(), text.tolist()) / m
-                slots = index.own[index.at[item] : index.at[item + 1]]
-                rows[doc, item, share, common, int(slots.sum()), int((slots & run).sum())] = None
+                # only the part of the item that stands there is compared: from its first to its last run on the band
+                hit = np.zeros(m, bool)
+                for j in range(WINDOW):
+                    hit[np.minimum(q[g[k] : ends[k]] + j, m - 1)] = True
+                part = np.flatnonzero(run & hit)
+                part = slice(part[0], part[-1] + 1) if len(part) else slice(0, m)
+                slots = index.own[index.at[item] : index.at[item + 1]][part]
+                rows[doc, item, share, common, int(slots.sum()), int((slots & run[part]).sum())] = None
             if rows:
                 v = [x[2:] for x in rows]
                 yield batch(
@@ -265,8 +272,8 @@ def _blocks(items: DataFrame) -> Iterator[tuple[np.ndarray, list[str]]]:
 
 
 def matches(items: DataFrame, documents: DataFrame) -> DataFrame:
-    """Stretches of documents that share wording with an item: share of its words in common runs, share in order, and how many of its
-    placeholders hold its own values there."""
+    """Stretches of documents that share wording with an item: share of its words in common runs, share in order, and how many of the
+    placeholders in the part that stands there hold its own values."""
     docs = documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     parts = [docs.mapInArrow(_searcher(Index(ids, texts)), OUT) for ids, texts in _blocks(items)]
     return reduce(DataFrame.unionByName, parts) if parts else documents.sparkSession.createDataFrame([], OUT)

@@ -305,6 +305,11 @@ def _leaks(spark, item, *docs):
     return {r["doc_id"] for r in leak.found(one, spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id long, text string")).collect()}
 
 
+def test_leak_of_the_half_with_fewer_values(spark):
+    item, sibling, other = _template(random.Random(10))
+    assert _leaks(spark, item, other + item[:33] + other, other + sibling + other) == {0}
+
+
 def test_leak_beside_a_sibling_with_more_words(spark):
     item, sibling, other = _template(random.Random(11))
     assert _leaks(spark, item, sibling + other + item[29:] + other, sibling + other) == {0}
