@@ -38,7 +38,7 @@ def score_ndcg(spark, sf):
 
 
 def _unit_run(spark, sf):
-    return _runs(spark, sf).where("branch in ('vi_dense', 'rrf9') and rank <= 20").select("branch", "qid", "unit_id", "doc_id", "rank")
+    return _runs(spark, sf).where("rank <= 20").select("branch", "qid", "unit_id", "doc_id", "rank")
 
 
 def unit_hits_lcs(spark, sf):

@@ -1,3 +1,6 @@
+from pathlib import Path
+
+import pytest
 from pyspark.sql import functions as F
 
 from irspark.functions import html, siterules
@@ -105,3 +108,13 @@ def test_header_dates_and_small_kernels(spark):
     for _ in range(3):
         lim.wait()
     assert slept == [0.5, 0.5]
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.001").exists(), reason="no test data")
+def test_unit_run_has_every_branch(spark):
+    from irspark.plans import evaluation
+
+    sf = "/root/testdata/sf0.001"
+    branches = {r["branch"] for r in evaluation._runs(spark, sf).where("rank <= 20").select("branch").distinct().collect()}
+    assert len(branches) > 2 and {r["branch"] for r in evaluation._unit_run(spark, sf).select("branch").distinct().collect()} == branches
+    assert {r["branch"] for r in evaluation.score_units(spark, sf).select("branch").distinct().collect()} == branches
