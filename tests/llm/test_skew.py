@@ -52,25 +52,42 @@ def test_versions_of_a_text_that_many_rows_copy(spark):
     g = {i: grams(texts[i]) for i in (0, *range(120, 360))}
     want = {(a, b) for a in g for b in g if a < b and 2 * len(g[a] & g[b]) >= len(g[a] | g[b])}
     assert len([1 for a, _ in want if a == 0]) == 40
-    for hot in (near.HOT, 1000):  # compared within buckets, and as written pairs
-        _, p = near.near(spark.createDataFrame([(0, 0, i, 0, t) for i, t in enumerate(texts)], near.ROWS), hot=hot)
+    # paired where they meet, compared in blocks, and found by their rare sequences
+    for how in ({"hot": 1000}, {"block": 8}, {"heavy": 8, "sampled": 1, "block": 8}):
+        _, p = near.near(spark.createDataFrame([(0, 0, i, 0, t) for i, t in enumerate(texts)], near.ROWS), **how)
         got = {(r["a"], r["b"]) for r in p.collect()}
         assert got <= want and len(got) >= 0.98 * len(want) and len([1 for a, _ in got if a == 0]) >= 39
 
 
-def test_bounds_keep_every_pair_over_the_threshold():
+def test_texts_that_share_a_phrase(spark):
+    """Every text has the phrases of all others, so that variants are hot; the pairs to find are few."""
+    rng = random.Random(9)
+    phrase = [word(rng) for _ in range(30)]
+    texts = [" ".join(phrase + [word(rng) for _ in range(70)]) for _ in range(300)]
+    texts += [" ".join(t.split()[:90] + [word(rng) for _ in range(10)]) for t in texts[:30]]
+    g = [grams(t) for t in texts]
+    want = {(a, b) for a in range(len(g)) for b in range(a + 1, len(g)) if 2 * len(g[a] & g[b]) >= len(g[a] | g[b])}
+    assert len(want) == 30
+    for how in ({}, {"hot": 4, "block": 16}, {"heavy": 20, "sampled": 1}):
+        _, p = near.near(spark.createDataFrame([(0, 0, i, 0, t) for i, t in enumerate(texts)], near.ROWS), **how)
+        assert {(r["a"], r["b"]) for r in p.collect()} == want
+
+
+def test_marks_keep_every_pair_over_the_threshold():
     rng = np.random.default_rng(4)
-    pool = rng.integers(1, 1 << 63, 3000, dtype=np.uint64)
+    pool = rng.integers(1, 1 << 48, 3000, dtype=np.uint64)
     sets = [rng.choice(pool[: 3000 if k % 3 else 400], int(rng.choice([2, 30, 250, 2400 if k % 3 else 380])), replace=False) for k in range(60)]
-    sets += [np.append(x[: len(x) * 3 // 4], rng.integers(1, 1 << 63, len(x) // 5, dtype=np.uint64)) for x in sets]
+    sets += [np.append(x[: len(x) * 3 // 4], rng.integers(1, 1 << 48, len(x) // 5, dtype=np.uint64)) for x in sets]
     size = np.array([len(x) for x in sets])
-    sketch, over = near._sketches(np.concatenate(sets), np.cumsum(size) - size, size)
-    t = pa.table({"tab": pa.array([0] * 120, pa.int32()), "rep": pa.array(range(120), pa.int64()), "n": pa.array(size, pa.int32()), "over": over, "sketch": pa.array([x.tobytes() for x in sketch], pa.binary())})
+    h, start = np.concatenate(sets), np.cumsum(size) - size
+    mark = np.concatenate([(near._minima(h, start) & 255).astype(np.uint8), near._bits(h, start, size)], axis=1)
+    t = pa.table({"tab": pa.array([0] * 120, pa.int32()), "rep": pa.array(range(120), pa.int64()), "n": pa.array(size, pa.int32()), "mark": pa.array([x.tobytes() for x in mark], pa.binary())})
+    t = t.append_column("block", pa.array([0] * 120)).append_column("i", pa.array([0] * 120)).append_column("j", pa.array([0] * 120))
     found = near._within(t)
     got = set(zip(found.column("a").to_pylist(), found.column("b").to_pylist()))
     s = [set(x.tolist()) for x in sets]
     want = {(a, b) for a in range(120) for b in range(a + 1, 120) if 3 * len(s[a] & s[b]) >= len(s[a]) + len(s[b])}
-    assert len(want) >= 50 and want <= got and over.max() > 0
+    assert len(want) >= 50 and want <= got
 
 
 def test_hot_repeated_row_is_packed_as_often_as_it_occurs(spark):
