@@ -5,13 +5,14 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from functools import reduce
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows a side may have at most to be broadcast (about 32 MB for two 8-byte keys).
-BROADCAST_ROWS = 1_000_000
+#: Rows and bytes a side may have at most to be broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64 << 20
 
 
 def ship(spark: SparkSession) -> None:
@@ -29,10 +30,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def work_root(spark: SparkSession) -> str:
-    """The shared folder of the cluster (spark.checkpoint.dir); one of its own only where that is unset, as in tests."""
+    """The shared folder of the cluster (spark.checkpoint.dir). Where that is unset, one of its own in local mode, as in tests, and an error on a cluster."""
     conf = spark.sparkContext.getConf()
     root = conf.get("spark.checkpoint.dir", None) or spark.conf.get("irspark.workDir", None)
     if root is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="irspark-")
         spark.conf.set("irspark.workDir", root)
     return root
@@ -68,10 +71,30 @@ def count_up_to(df: DataFrame, bound: int) -> int:
     return df.limit(bound + 1).count()
 
 
+def _width(df: DataFrame) -> Column:
+    """About as many bytes as a row takes in memory."""
+    fixed, wide = 16, []
+    for f in df.schema.fields:
+        kind = f.dataType.typeName()
+        if kind in ("string", "binary"):
+            wide.append(F.coalesce(F.octet_length(f.name), F.lit(0)))
+        elif kind in ("array", "map"):
+            wide.append(F.greatest(F.size(f.name), F.lit(0)) * 16)
+        else:
+            fixed += 8
+    return reduce(Column.__add__, wide, F.lit(fixed))
+
+
+def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS, bytes_: int = BROADCAST_BYTES) -> bool:
+    """Whether df has at most so many rows and bytes; it is read no further than to rows + 1."""
+    n, size = df.limit(rows + 1).select(_width(df).alias("_w")).agg(F.count("*"), F.coalesce(F.sum("_w"), F.lit(0))).first()
+    return n <= rows and size <= bytes_
+
+
 def bounded_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", bound: int = BROADCAST_ROWS) -> DataFrame:
-    """Join that broadcasts small only if it was counted and has at most bound rows; otherwise both sides
+    """Join that broadcasts small only if it was measured and has at most bound rows and BROADCAST_BYTES bytes; otherwise both sides
     are shuffled, where adaptive execution splits skewed partitions. Pass a written table as small: it is read twice.
     """
-    if count_up_to(small, bound) <= bound:
+    if small_enough(small, bound):
         return big.join(F.broadcast(small), on, how)
     return big.join(small.hint("merge"), on, how)
