@@ -85,8 +85,22 @@ def test_repeated_lines_equal_brute_force(spark, seed):
         lines = [sentence(rng, rng.randint(1, 30)) for _ in range(rng.randint(0, 5))] + [x.upper() + str(i) if rng.random() < 0.3 else x for x in rng.sample(site[h or "p"], 4)]
         rng.shuffle(lines)
         rows.append((i, h, "\n".join(lines) if rng.random() < 0.95 else None))
-    got = {tuple(r) for r in repeats.found(spark.createDataFrame(rows, "id long, host string, text string")).collect()}
-    assert got == repeated_lines(rows, 12)
+    df = spark.createDataFrame(rows, "id long, host string, text string")
+    assert {tuple(r) for r in repeats.found(df).collect()} == repeated_lines(rows, 12)
+    assert {tuple(r) for r in repeats.found(df, sent=0).collect()} == repeated_lines(rows, 12)  # more chunks than are sent around
+
+
+def test_notice_that_is_no_line_of_its_own(spark):
+    """Behind other text of the same line, and wrapped at different places."""
+    rng = random.Random(12)
+    notice = " ".join(word(rng) for _ in range(24)).capitalize() + "."
+    own = [" ".join(word(rng) for _ in range(12)).capitalize() + "." for _ in range(60)]
+    wrap = lambda i: notice[: notice.index(" ", 10 + i)] + "\n" + notice[notice.index(" ", 10 + i) + 1 :]
+    rows = [(i, "h", f"{own[i]} {notice}") for i in range(40)] + [(i, "h", f"{own[i]}\n{wrap(i)}") for i in range(40, 60)] + [(99, "other", notice)]
+    for sent in (repeats.SENT_CHUNKS, 0):
+        out = {r["id"]: r["text"] for r in repeats.cleaned(spark.createDataFrame(rows, "id long, host string, text string"), sent=sent).collect()}
+        assert all(out[i] == own[i] for i in range(40)) and out[99] == notice
+        assert all(out[i].startswith(own[i]) and len(out[i]) < len(own[i]) + 0.6 * len(notice) for i in range(40, 60))
 
 
 def test_cleaning_cuts_exactly_those_lines(spark):
