@@ -79,7 +79,8 @@ def _width(df: DataFrame) -> Column:
         if kind in ("string", "binary"):
             wide.append(F.coalesce(F.octet_length(f.name), F.lit(0)))
         elif kind in ("array", "map"):
-            wide.append(F.greatest(F.size(f.name), F.lit(0)) * 16)
+            each = {"long": 8, "double": 8, "integer": 4, "float": 4}.get(getattr(getattr(f.dataType, "elementType", None), "typeName", str)(), 32)
+            wide.append(F.greatest(F.size(f.name), F.lit(0)) * each)
         else:
             fixed += 8
     return reduce(Column.__add__, wide, F.lit(fixed))
