@@ -83,7 +83,8 @@ def test_marks_keep_every_pair_over_the_threshold():
     mark = np.concatenate([(near._minima(h, start) & 255).astype(np.uint8), near._bits(h, start, size)], axis=1)
     t = pa.table({"tab": pa.array([0] * 120, pa.int32()), "rep": pa.array(range(120), pa.int64()), "n": pa.array(size, pa.int32()), "mark": pa.array([x.tobytes() for x in mark], pa.binary())})
     t = t.append_column("block", pa.array([0] * 120)).append_column("i", pa.array([0] * 120)).append_column("j", pa.array([0] * 120))
-    found = near._within(t)
+    t = t.append_column("key", pa.array([0] * 120))
+    found = pa.Table.from_batches(near._within(iter(t.to_batches(max_chunksize=50))))
     got = set(zip(found.column("a").to_pylist(), found.column("b").to_pylist()))
     s = [set(x.tolist()) for x in sets]
     want = {(a, b) for a in range(120) for b in range(a + 1, 120) if 3 * len(s[a] & s[b]) >= len(s[a]) + len(s[b])}
