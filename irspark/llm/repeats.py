@@ -53,16 +53,17 @@ def line_letters(cp: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def _first(keys: np.ndarray) -> np.ndarray:
+    """One of the places of each key."""
+    at = np.argsort(keys)
     out = np.zeros(len(keys), bool)
-    out[np.unique(keys, return_index=True)[1]] = True
+    out[at[np.append(True, keys[at[1:]] != keys[at[:-1]])[: len(at)]]] = True
     return out
 
 
 def _chunks(pre: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, first letter, end) of the chunks between the cuts of each text; bounds are the texts' places among the letters."""
-    p = np.arange(WINDOW, len(pre))
-    roll = vec.span_hash(pre, p - WINDOW, p) if len(p) else np.zeros(0, np.uint64)
-    cut = p[(roll >> np.uint64(40)) % np.uint64(MEAN_CHUNK) == 0]  # a chunk ends before this letter
+    roll = (pre[WINDOW:] - pre[:-WINDOW]) * vec.powers(len(pre))[1][: max(len(pre) - WINDOW, 0)]
+    cut = np.flatnonzero((roll >> np.uint64(40)) % np.uint64(MEAN_CHUNK) == 0) + WINDOW  # a chunk ends before this letter
     text = np.searchsorted(bounds, cut - 1, "right")
     ok = (text == np.searchsorted(bounds, cut - WINDOW, "right")) if len(cut) else np.zeros(0, bool)  # a window in two texts decides nothing
     cut, text = cut[ok], text[ok]
@@ -88,7 +89,7 @@ def _line_chunks(ln: dict[str, np.ndarray], bounds: np.ndarray) -> tuple[np.ndar
     line = np.repeat(np.arange(len(a)), inner)
     k = np.arange(len(line)) - np.repeat(np.cumsum(inner) - inner, inner) + i[line]
     c_line, c_hash = np.concatenate([line, np.flatnonzero(whole)]), np.concatenate([h[k], ln["hash"][whole]])
-    order = np.argsort(c_line, kind="stable")
+    order = np.argsort(c_line)
     return c_hash[order], c_line[order], every
 
 
@@ -109,7 +110,10 @@ def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h, line, (every, start, _) = _line_chunks(ln, bounds)
         doc = np.concatenate([ln["doc"][line], np.searchsorted(bounds, start, "right") - 1])
         key = chunk_key(np.concatenate([h, every]), hk[doc])
-        _, at = np.unique(vec.mix(key + doc.astype(np.uint64) * vec.BASE), return_index=True)  # once for each document
+        own = vec.mix(key + doc.astype(np.uint64) * vec.BASE)
+        at = np.argsort(own)
+        own = own[at]
+        at = at[np.append(True, own[1:] != own[:-1])[: len(at)]]  # once for each document
         key, n = np.unique(key[at], return_counts=True)
         yield batch(key=i64(key), n=pa.array(n.astype(np.int64)))
 
