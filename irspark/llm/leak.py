@@ -2,10 +2,16 @@
 
 Words of both sides are folded (compatibility forms, diacritics, case, punctuation aside); numbers, names and units become typed
 placeholders; windows of WINDOW canonical words are hash-joined. Hits of one text and item are gathered on a band of
-diagonals, and where they cover enough of the item the stretch is checked: which of the item's words stand in it in order, and whether
-the placeholders hold the item's own values (a copy), values that replace them consistently (a question with other parameters), or neither.
+diagonals, and where they cover enough of the item the stretch is checked: which of the item's words stand in it in order, whether
+the placeholders hold the item's own values (a copy), and else what stands in their place. The placeholders of aligned windows give a map from the item's
+values to those of the stretch. It is consistent if a value always becomes the same one, two values never become one, none becomes
+another value of the item, and some value is replaced in two places, without which nothing would tell the item's question from any
+text of its template. A stretch with nearly all of the template and a consistent map is the question with other parameters.
 
-The items are the stated query set: they go to all executors in blocks of at most BLOCK_WORDS words, each block against all texts.
+The items are the stated query set: they go to all executors in blocks of at most BLOCK_WORDS words, each block against all texts. Which
+words are names, and which of these are too common to tell items apart, is learned from all items first, so blocks change nothing.
+A pair of text and item whose windows meet in more than PAIR_HITS places (both repeat the same words) isn't searched for
+diagonals: all stretches of the text, one after the other, are checked.
 
 Defined results: null ids are left out; null and empty texts and items hold nothing; items of fewer words than WINDOW are found only
 as a whole; repeated rows change nothing, as results are distinct; the label of an item isn't used.
@@ -26,8 +32,10 @@ from .common import batch
 
 WINDOW = 5
 BLOCK_WORDS = 400_000
-#: Places kept of a window that an item repeats.
-REPEATS = 4
+#: Places at which a text and an item may meet to be searched for diagonals.
+PAIR_HITS = 100_000
+#: Share of an item's canonical words that a stretch with other values must have.
+TEMPLATE_SHARE = 0.9
 #: Share of an item's words that must stand in one stretch.
 MIN_SHARE = 0.5
 #: Accepted (share of words, share of placeholders of the part found with the item's own value): the more of the wording, the fewer values.
@@ -93,33 +101,30 @@ def _order(keys: tuple[np.ndarray, ...]) -> np.ndarray:
 
 
 class Index:
-    """Windows of a block of items, sorted by hash, with a bit filter in front."""
+    """Windows of a block of items, sorted by hash, with a bit filter in front. names: hashes of the names of all items, with those that are too common."""
 
-    def __init__(self, ids: np.ndarray, texts: list[str]):
+    def __init__(self, ids: np.ndarray, texts: list[str], names: tuple[np.ndarray, np.ndarray]):
         self.ids = ids
         self.units = _unit_hashes()
+        self.names, common = names
         cp, off = vec.codepoints(pa.array(texts, pa.large_string()))
-        first = canonical(cp, off, np.zeros(0, np.uint64), self.units)
-        self.names = np.unique(first["hash"][first["caps"]])
         w = canonical(cp, off, self.names, self.units)
-        self.hash, self.slot, self.doc = w["hash"], w["slot"], w["doc"]
+        self.hash, self.slot, self.doc, self.canon = w["hash"], w["slot"], w["doc"], w["canon"]
         # a capitalised word that many items have says as little as any other
-        name = self.slot == 2
-        pairs = np.unique(np.stack([self.hash[name], self.doc[name].astype(np.uint64)]), axis=1)
-        h, n = np.unique(pairs[0], return_counts=True)
-        self.own = (self.slot == 1) | (name & ~_isin(self.hash, h[n > max(2, COMMON_NAME * len(texts))]))
+        self.own = (self.slot == 1) | ((self.slot == 2) & ~_isin(self.hash, common))
         self.at = np.searchsorted(w["doc"], np.arange(len(texts) + 1))  # words of item i: at[i]..at[i+1]
         h, d = vec.shingles(w["canon"], w["doc"], WINDOW)
         pos = self._positions(w["doc"])
         order = np.lexsort((pos, d, h))
-        h, d, pos = h[order], d[order], pos[order]
-        new = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (d[1:] != d[:-1]))) if len(h) else np.zeros(0, np.int64)
-        # a window that an item repeats stands at its first REPEATS places; shares are of the windows kept, so nothing is missed by it
-        keep = np.arange(len(h)) - np.repeat(new, np.diff(np.append(new, len(h)))) < REPEATS
-        self.win, self.item, self.pos = h[keep], d[keep], pos[keep]
+        self.win, self.item, self.pos = h[order], d[order], pos[order]
         self.windows = np.maximum(np.bincount(self.item, minlength=len(texts)), 1)
+        # a window and an item, with the places that the item has it at
+        new = np.append(True, (self.win[1:] != self.win[:-1]) | (self.item[1:] != self.item[:-1]))[: len(order)]
+        self.first = np.flatnonzero(new)
+        self.places = np.diff(np.append(self.first, len(order)))
+        self.key = self.win[self.first]
         self.filter = np.zeros(1 << 22, bool)
-        self.filter[(self.win >> np.uint64(42)).astype(np.int64)] = True
+        self.filter[(self.key >> np.uint64(42)).astype(np.int64)] = True
 
     @staticmethod
     def _positions(doc: np.ndarray) -> np.ndarray:
@@ -143,15 +148,27 @@ class Index:
             same &= ~slot | (words[x] == self.hash[y])
         return same & (n > 0)
 
-    def hits(self, h: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(text, place, item, place in item) of every common window."""
+    def hits(self, h: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> tuple[tuple[np.ndarray, ...], np.ndarray]:
+        """(text, place, item, place in item) of every common window, and the pairs (text, item) that have too many."""
         may = np.flatnonzero(self.filter[(h >> np.uint64(42)).astype(np.int64)])
         h, doc, pos = h[may], doc[may], pos[may]
-        a, b = np.searchsorted(self.win, h, "left"), np.searchsorted(self.win, h, "right")
-        n = b - a
-        k = np.repeat(np.arange(len(h)), n)
-        i = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + a[k]
-        return doc[k], pos[k], self.item[i], self.pos[i]
+        a, b = np.searchsorted(self.key, h, "left"), np.searchsorted(self.key, h, "right")
+        k, i = _spread(a, b - a)
+        doc, pos, n = doc[k], pos[k], self.places[i]
+        item = self.item[self.first[i]]
+        pair, inv = np.unique(doc * (len(self.at) - 1) + item, return_inverse=True)
+        many = np.bincount(inv, n, len(pair)) > PAIR_HITS if len(pair) else np.zeros(0, bool)
+        few = ~many[inv]
+        doc, pos, item, i = doc[few], pos[few], item[few], i[few]
+        k, j = _spread(self.first[i], self.places[i])
+        pair = pair[many]
+        return (doc[k], pos[k], item[k], self.pos[j]), np.stack([pair // max(1, len(self.at) - 1), pair % max(1, len(self.at) - 1)], axis=1)
+
+
+def _spread(first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For runs of n numbers from first on: the run and the number of every element."""
+    k = np.repeat(np.arange(len(n)), n)
+    return k, np.arange(len(k)) - np.repeat(np.cumsum(n) - n, n) + first[k]
 
 
 def _in_order(item: list[int], text: list[int]) -> int:
@@ -181,80 +198,140 @@ def _runs(item: np.ndarray, text: np.ndarray) -> np.ndarray:
     return out
 
 
+def _consistent(place: np.ndarray, old: np.ndarray, new: np.ndarray, own: np.ndarray) -> tuple[int, bool]:
+    """How many values of an item are replaced in aligned places, and whether that is consistent, which at least one value that is replaced
+    in two places must show. own: all values of the item."""
+    three = np.unique(np.stack([place.astype(np.uint64), old, new]), axis=1)
+    pairs, times = np.unique(three[1:], axis=1, return_counts=True)
+    changed = pairs[0] != pairs[1]
+    one = len(np.unique(pairs[0])) == pairs.shape[1] == len(np.unique(pairs[1]))
+    shown = bool((times[changed] > 1).any()) and one and not np.isin(pairs[1][changed], own).any()
+    return int(changed.sum()), bool(shown)
+
+
+class _Checker:
+    """Checks stretches of the texts of a slice."""
+
+    def __init__(self, index: Index, w: dict[str, np.ndarray], starts: np.ndarray):
+        self.index, self.w, self.starts = index, w, starts
+
+    def __call__(self, doc: int, item: int, lo: int, hi: int, q: np.ndarray, diag: np.ndarray) -> tuple | None:
+        """The stretch of a text from diagonal lo to hi, with the hits (place in item, diagonal) that led to it."""
+        index = self.index
+        at = slice(index.at[item], index.at[item + 1])
+        words, m = index.hash[at], index.at[item + 1] - index.at[item]
+        slack = m // 8 + 4
+        a = self.starts[doc] + max(0, lo - slack)
+        e = min(self.starts[doc + 1], self.starts[doc] + hi + m + slack)
+        text = self.w["hash"][a:e]
+        run = _runs(words, text)
+        share = run.sum() / m
+        if share < MIN_SHARE / 2:
+            return None
+        common = _in_order(words.tolist(), text.tolist()) / m
+        # only the part of the item that stands there is compared: from its first to its last run on the band
+        hit = np.zeros(m, bool)
+        for j in range(WINDOW):
+            hit[np.minimum(q + j, m - 1)] = True
+        part = np.flatnonzero(run & hit)
+        part = slice(part[0], part[-1] + 1) if len(part) else slice(0, m)
+        slots = index.own[at][part]
+        template = min(_runs(index.canon[at], self.w["canon"][a:e]).sum(), _in_order(index.canon[at].tolist(), self.w["canon"][a:e].tolist())) / m
+        # aligned placeholders: the first window that covers a word of the item
+        i = np.minimum(q[:, None] + np.arange(WINDOW), m - 1).ravel()
+        j = np.minimum(self.starts[doc] + (q + diag)[:, None] + np.arange(WINDOW), len(self.w["hash"]) - 1).ravel()
+        kind = index.slot[at][i]
+        ok = ((kind == 1) | (kind == 2)) & (self.w["slot"][j] == kind)
+        replaced, consistent = _consistent(i[ok], words[i[ok]], self.w["hash"][j[ok]], words[(index.slot[at] == 1) | (index.slot[at] == 2)])
+        return share, common, int(slots.sum()), int((slots & run[part]).sum()), template, replaced, consistent
+
+
 def _searcher(index: Index):
+    size, windows = np.diff(index.at), index.windows
+
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in vec.slices(batches, "text"):
             cp, off = vec.codepoints(b.column("text"))
             w = canonical(cp, off, index.names, index.units)
             if not len(w["hash"]):
                 continue
-            h, d = vec.shingles(w["canon"], w["doc"], WINDOW)
-            d, p, it, q = index.hits(h, d, Index._positions(w["doc"]))
-            if not len(d):
-                continue
-            size = np.diff(index.at)
-            size = np.diff(index.at)
-            windows = index.windows
             starts = np.searchsorted(w["doc"], np.arange(b.num_rows + 1))
-            own = index.same_slots(w["hash"], starts[d] + p, it, q)
-            # pairs that can't reach the bounds on any band are dropped by counting
-            pair = d * len(size) + it
-            n_pair, own_pair = np.bincount(pair), np.bincount(pair[own], minlength=int(pair.max()) + 1)
-            seen = np.flatnonzero(n_pair)
-            k = windows[seen % len(size)]
-            good = np.zeros(len(n_pair), bool)
-            good[seen] = (n_pair[seen] >= MIN_TEMPLATE * k) | ((own_pair[seen] >= MIN_SLOTS * k) & (n_pair[seen] >= MIN_HITS * k))
-            some = np.flatnonzero(good[pair])
-            d, p, it, q, own = d[some], p[some], it[some], q[some], own[some]
-            if not len(d):
-                continue
-            # bands of diagonals, each hit in two of them
-            width = np.maximum(size[it] // 4, 8)
-            band = np.floor_divide(p - q, width)
-            d, it, q, diag, band, own = np.tile(d, 2), np.tile(it, 2), np.tile(q, 2), np.tile(p - q, 2), np.concatenate([band, band + 1]), np.tile(own, 2)
-            order = _order((d, it, band - band.min(), q, ~own))
-            d, it, q, diag, band, own = d[order], it[order], q[order], diag[order], band[order], own[order]
-            new = np.append(True, (d[1:] != d[:-1]) | (it[1:] != it[:-1]) | (band[1:] != band[:-1]))
-            g = np.flatnonzero(new)
-            fresh = new | np.append(True, q[1:] != q[:-1])  # places of the item count once
-            n, n_own = np.add.reduceat(fresh.astype(np.int64), g), np.add.reduceat((fresh & own).astype(np.int64), g)
-            lo, hi = np.minimum.reduceat(diag, g), np.maximum.reduceat(diag, g)
-            k = windows[it[g]]
-            ok = np.flatnonzero((n >= MIN_TEMPLATE * k) | ((n_own >= MIN_SLOTS * k) & (n >= MIN_HITS * k)))
-            ends = np.append(g[1:], len(d))
+            check = _Checker(index, w, starts)
+            h, d = vec.shingles(w["canon"], w["doc"], WINDOW)
+            (d, p, it, q), many = index.hits(h, d, Index._positions(w["doc"]))
             rows: dict[tuple, None] = {}  # every stretch, as the one with most words need not be the one with the item's values
-            for k in ok:
-                doc, item = int(d[g[k]]), int(it[g[k]])
-                words = index.hash[index.at[item] : index.at[item + 1]]
-                m = len(words)
-                slack = m // 8 + 4
-                a = starts[doc] + max(0, int(lo[k]) - slack)
-                e = min(starts[doc + 1], starts[doc] + int(hi[k]) + m + slack)
-                text = w["hash"][a:e]
-                run = _runs(words, text)
-                share = run.sum() / m
-                if share < MIN_SHARE / 2:
-                    continue
-                common = _in_order(words.tolist(), text.tolist()) / m
-                # only the part of the item that stands there is compared: from its first to its last run on the band
-                hit = np.zeros(m, bool)
-                for j in range(WINDOW):
-                    hit[np.minimum(q[g[k] : ends[k]] + j, m - 1)] = True
-                part = np.flatnonzero(run & hit)
-                part = slice(part[0], part[-1] + 1) if len(part) else slice(0, m)
-                slots = index.own[index.at[item] : index.at[item + 1]][part]
-                rows[doc, item, share, common, int(slots.sum()), int((slots & run[part]).sum())] = None
+            none = np.zeros(0, np.int64)
+            for doc, item in many.tolist():
+                step = max(1, int(size[item]) // 2)
+                for lo in range(0, max(1, int(starts[doc + 1] - starts[doc]) - step), step):
+                    if got := check(doc, item, lo, lo + step, none, none):
+                        rows[(doc, item, *got)] = None
+            for k in _bands(index, w, starts, d, p, it, q):
+                if got := check(*k):
+                    rows[(k[0], k[1], *got)] = None
             if rows:
-                v = [x[2:] for x in rows]
+                v = list(zip(*rows))
+                number = lambda x: pa.array(x, pa.int64())
                 yield batch(
-                    item_id=pa.array([int(index.ids[i]) for _, i, *_ in rows], pa.int64()), doc_id=b.column("doc_id").take(pa.array([x for x, *_ in rows])),
-                    share=pa.array([round(float(x[0]), 4) for x in v]), in_order=pa.array([round(float(x[1]), 4) for x in v]), slots=pa.array([x[2] for x in v], pa.int64()), slots_same=pa.array([x[3] for x in v], pa.int64()),
+                    item_id=number([int(index.ids[i]) for i in v[1]]), doc_id=b.column("doc_id").take(pa.array(v[0])), share=pa.array([round(float(x), 4) for x in v[2]]), in_order=pa.array([round(float(x), 4) for x in v[3]]),
+                    slots=number(v[4]), slots_same=number(v[5]), template=pa.array([round(float(x), 4) for x in v[6]]), replaced=number(v[7]), consistent=pa.array(v[8], pa.bool_()),
                 )
 
+    def _bands(index, w, starts, d, p, it, q) -> Iterator[tuple]:
+        """Bands of diagonals with enough hits: (text, item, lowest and highest diagonal, places in the item, diagonals)."""
+        if not len(d):
+            return
+        own = index.same_slots(w["hash"], starts[d] + p, it, q)
+        # pairs that can't reach the bounds on any band are dropped by counting
+        pair = d * len(size) + it
+        n_pair, own_pair = np.bincount(pair), np.bincount(pair[own], minlength=int(pair.max()) + 1)
+        seen = np.flatnonzero(n_pair)
+        k = windows[seen % len(size)]
+        good = np.zeros(len(n_pair), bool)
+        good[seen] = (n_pair[seen] >= MIN_TEMPLATE * k) | ((own_pair[seen] >= MIN_SLOTS * k) & (n_pair[seen] >= MIN_HITS * k))
+        some = np.flatnonzero(good[pair])
+        d, p, it, q, own = d[some], p[some], it[some], q[some], own[some]
+        if not len(d):
+            return
+        # each hit in two bands
+        width = np.maximum(size[it] // 4, 8)
+        band = np.floor_divide(p - q, width)
+        d, it, q, diag, band, own = np.tile(d, 2), np.tile(it, 2), np.tile(q, 2), np.tile(p - q, 2), np.concatenate([band, band + 1]), np.tile(own, 2)
+        order = _order((d, it, band - band.min(), q, ~own))
+        d, it, q, diag, band, own = d[order], it[order], q[order], diag[order], band[order], own[order]
+        new = np.append(True, (d[1:] != d[:-1]) | (it[1:] != it[:-1]) | (band[1:] != band[:-1]))
+        g = np.flatnonzero(new)
+        fresh = new | np.append(True, q[1:] != q[:-1])  # places of the item count once
+        n, n_own = np.add.reduceat(fresh.astype(np.int64), g), np.add.reduceat((fresh & own).astype(np.int64), g)
+        lo, hi = np.minimum.reduceat(diag, g), np.maximum.reduceat(diag, g)
+        k = windows[it[g]]
+        ends = np.append(g[1:], len(d))
+        for k in np.flatnonzero((n >= MIN_TEMPLATE * k) | ((n_own >= MIN_SLOTS * k) & (n >= MIN_HITS * k))):
+            at = g[k] + np.flatnonzero(fresh[g[k] : ends[k]])
+            yield int(d[g[k]]), int(it[g[k]]), int(lo[k]), int(hi[k]), q[at], diag[at]
+
     return search
 
 
-OUT = "item_id long, doc_id long, share double, in_order double, slots long, slots_same long"
+def _namer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(h, item, caps) of the words of items, caps for those that stand somewhere with a capital like a name."""
+    units = _unit_hashes()
+    for b in vec.slices(batches, "text"):
+        w = canonical(*vec.codepoints(b.column("text")), np.zeros(0, np.uint64), units)
+        if len(w["hash"]):
+            yield batch(h=pa.array(w["hash"].view(np.int64)), item=b.column("item_id").take(pa.array(w["doc"])), caps=pa.array(w["caps"]))
+
+
+def names_of(items: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the names that items hold, and of those that more than COMMON_NAME of them hold; there are fewer than words of items."""
+    rows = items.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
+    per = rows.mapInArrow(_namer, "h long, item long, caps boolean").groupBy("h").agg(F.max("caps").alias("caps"), F.count_distinct("item").alias("n")).where("caps")
+    names, n = per.select("h", "n").toPandas(), rows.count()
+    h = names["h"].to_numpy(np.int64).view(np.uint64)
+    return np.sort(h), np.sort(h[names["n"].to_numpy() > max(2, COMMON_NAME * n)])
+
+
+OUT = "item_id long, doc_id long, share double, in_order double, slots long, slots_same long, template double, replaced long, consistent boolean"
 
 
 def _blocks(items: DataFrame) -> Iterator[tuple[np.ndarray, list[str]]]:
@@ -273,14 +350,16 @@ def _blocks(items: DataFrame) -> Iterator[tuple[np.ndarray, list[str]]]:
 
 def matches(items: DataFrame, documents: DataFrame) -> DataFrame:
     """Stretches of documents that share wording with an item: share of its words in common runs, share in order, and how many of the
-    placeholders in the part that stands there hold its own values."""
+    placeholders in the part that stands there hold its own values, share of its canonical words, how many values are replaced and whether consistently."""
     docs = documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    parts = [docs.mapInArrow(_searcher(Index(ids, texts)), OUT) for ids, texts in _blocks(items)]
+    names = names_of(items)
+    parts = [docs.mapInArrow(_searcher(Index(ids, texts, names)), OUT) for ids, texts in _blocks(items)]
     return reduce(DataFrame.unionByName, parts) if parts else documents.sparkSession.createDataFrame([], OUT)
 
 
 def found(items: DataFrame, documents: DataFrame) -> DataFrame:
-    """(item_id, doc_id): the document holds at least half of the item's wording in one stretch and in order."""
+    """(item_id, doc_id): the document holds at least half of the item's wording in one stretch and in order, or nearly all of its template with values that are replaced consistently."""
     share = F.least("in_order", "share")
     ok = reduce(Column.__or__, [(share >= x) & (F.col("slots_same") >= y * F.col("slots")) for x, y in ACCEPTED])
+    ok = ok | ((F.col("template") >= TEMPLATE_SHARE) & F.col("consistent"))
     return matches(items, documents).where(ok).select("item_id", "doc_id").distinct()

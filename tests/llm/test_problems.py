@@ -395,3 +395,40 @@ def test_words_and_lines(texts):
         assert s and (len(s) == 1 or not any(map(vec.is_single, s)))
         if "́" not in "".join(map(chr, cp[a : b + 1])):
             assert seen.setdefault(h, s) == s
+
+
+# ---- p9, values of a template
+
+
+def test_template_with_other_values(spark):
+    item = "Patient Nguyenhoang took 15 mg of Xylofenac on day 3 and Nguyenhoang felt better while doctor Tranvanlong noted 72 beats and 15 mg again on day 9"
+    swap = {"Nguyenhoang": "Phamthilan", "Xylofenac": "Betorvane", "Tranvanlong": "Lequangvinh", "15": "40", "3": "5", "72": "88", "9": "6"}
+    other = " ".join(swap.get(w, w) for w in item.split())
+    own = {"Nguyenhoang": "Tranvanlong", "Tranvanlong": "Xylofenac", "Xylofenac": "Nguyenhoang", "15": "72", "72": "3", "3": "9", "9": "15"}
+    mixed = " ".join(own.get(w, w) for w in item.split())
+    words = other.split()
+    words[words.index("Phamthilan")] = "Dangthuyen"  # one value becomes two
+    docs = [(1, item), (2, other), (3, mixed), (4, " ".join(words)), (5, f"Some text before. {other} And after it.")]
+    items = spark.createDataFrame([(7, item)], "item_id long, text string")
+    got = {r["doc_id"] for r in leak.found(items, spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {1, 2, 5}
+
+
+def test_item_and_text_that_repeat_words(spark):
+    rng = random.Random(4)
+    part = [word(rng) for _ in range(6)]
+    item = " ".join(part * 60 + [word(rng) for _ in range(20)])
+    docs = [(1, " ".join(part * 300)), (2, item), (3, " ".join(word(rng) for _ in range(300))), (4, "the " * 3000)]
+    items = spark.createDataFrame([(1, item), (2, "the " * 400)], "item_id long, text string")
+    got = {tuple(r) for r in leak.found(items, spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {(1, 1), (1, 2), (2, 4)}
+
+
+def test_blocks_of_items_change_nothing(spark, monkeypatch):
+    rng = random.Random(8)
+    items = [(i, " ".join(rng.choice([word(rng), word(rng).capitalize() + "son", str(rng.randint(1, 99))]) for _ in range(40))) for i in range(12)]
+    docs = spark.createDataFrame([(i, f"Before it. {t}") for i, t in items], "doc_id long, text string")
+    frame = spark.createDataFrame(items, "item_id long, text string")
+    whole = sorted(map(tuple, leak.matches(frame, docs).collect()))
+    monkeypatch.setattr(leak, "BLOCK_WORDS", 200)
+    assert sorted(map(tuple, leak.matches(frame, docs).collect())) == whole and len(whole) >= 12
