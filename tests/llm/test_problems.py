@@ -1,6 +1,7 @@
 """The operators against brute force and planted cases."""
 
 import random
+from pathlib import Path
 from collections import Counter, defaultdict
 
 import pytest
@@ -432,3 +433,20 @@ def test_blocks_of_items_change_nothing(spark, monkeypatch):
     whole = sorted(map(tuple, leak.matches(frame, docs).collect()))
     monkeypatch.setattr(leak, "BLOCK_WORDS", 200)
     assert sorted(map(tuple, leak.matches(frame, docs).collect())) == whole and len(whole) >= 12
+
+
+# ---- p10, languages that no prototype stands for
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.01").exists(), reason="no test data")
+def test_other_languages_and_signs(spark):
+    model = language.train(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    texts = {
+        "other": ["El niño tiene fiebre desde hace tres días y no quiere comer nada.", "Das Kind hat seit drei Tagen Fieber und möchte nichts essen, sagte der Arzt.", "Ребёнок уже три дня болеет и ничего не хочет есть.", "Il bambino ha la febbre da tre giorni e non vuole mangiare."],
+        "zh": ["- 服用该药期间应避免饮酒，并定期复查血压和肝功能。", "症状持续三天以上时应尽快就医。"], "ja": ["この薬は食後に服用し、症状が続く場合は医師に相談してください。"],
+        "vi": ["Người bệnh nên tái khám sau ba tháng và tránh ăn mặn."], "en": ["Patients should return after three months and avoid salty food."],
+    }
+    rows = [(i, t, None, want) for i, (want, t) in enumerate((k, t) for k, v in texts.items() for t in v)]
+    got = {r["doc_id"]: (r["lang"], r["confidence"]) for r in language.stretches(spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string"), model).collect()}
+    assert {i: got[i][0] for i, *_ in rows} == {i: want for i, _, _, want in rows}
+    assert all(0 <= c <= 1 for _, c in got.values())
