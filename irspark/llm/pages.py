@@ -1,14 +1,18 @@
-"""Lines of rendered pages: a linear classifier for what they are (article, frame, residue), residue pages, and the main body.
+"""Lines of rendered pages: a block tree, a linear classifier for what lines and fields are, residue pages, and the main body.
 
-The texts of the project are rendered already, so a page's tree is rebuilt from its line markup: every line opens the block that
-its form implies (heading, list item, table row, separator, paragraph, question; else menu, path, pointer, teaser, caption, tag or tool),
-and visibility rules decide which blocks are emitted. The rules use statistics over all pages (in how many pages of its host a line's letters
-stand) and the classifier. blocks() keeps spacing, lists and the cells of tables as they are.
+The texts of the project are rendered already, so a page's tree is rebuilt from its line markup: a heading opens a section, which ends at the next heading
+of its level or above; items imply a list and rows of cells a table, which end at the first line of another kind; a rule or a blank line ends
+both; every other line is a paragraph. Visibility rules decide which blocks are emitted; lists and tables are decided as a whole. The rules use statistics over all pages
+(in how many pages of its host a line's letters stand) and the classifier. blocks() lays out what is visible: a blank line between blocks,
+items under each other, table cells padded to the width of their column.
 
 The classifier is a regularised multinomial logistic regression over hashed word n-grams, line length and title features. Its
 labels are weak: lines of long pages that were fetched are article, lines of short pages whose status is a failure, or that hold a
 phrase of PHRASES, are residue, lines that stand in many sampled pages of their host are frame. It is fitted on about
-TRAIN_ROWS rows and half as many that the weak labels call residue, chosen by a hash of their id.
+TRAIN_ROWS rows and half as many that the weak labels call residue, chosen by a hash of their id, of at most TRAIN_CHARS characters each. A second, binary one
+sees every span in brackets or signs of its kind (its delimiters, the shape and n-grams of its content, its length and place) and tells unfilled template
+fields from others; its weak labels are the forms FIELD, on about FIELD_ROWS rows. validation() leaves a fifth of the hosts out
+of both fits and reports the accuracy on their lines and spans.
 
 Defined results: null ids are left out; rows with null or empty text have no lines; repeated rows change nothing, as results are
 distinct and statistics count ids; rows without any article line are no cases of the main body, whose text is then empty.
@@ -16,6 +20,8 @@ distinct and statistics count ids; rows without any article line are no cases of
 
 from __future__ import annotations
 
+import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,9 +31,9 @@ from pyspark.sql import functions as F
 
 from ..session import bounded_join, written
 from . import vec
-from .common import batch, i64, table
+from .common import batch, i64
 
-TRAIN_ROWS = 3000
+TRAIN_ROWS, TRAIN_CHARS, FIELD_ROWS = 3000, 20_000, 10_000
 BUCKETS = 1 << 16
 ARTICLE, FRAME, RESIDUE = 0, 1, 2
 LONG_PAGE, SHORT_PAGE = 600, 500
@@ -40,13 +46,17 @@ PHRASES = (
     r"(?i)enable (?:javascript|scripts)|javascript is (?:required|disabled)|page (?:was )?not found|are you human|not a robot|captcha|access denied|service unavailable"
     r"|under (?:construction|maintenance)|coming soon|lorem ipsum|không tìm thấy|bảo trì|đang cập nhật|请启用|未找到|验证您是真人|正在建设|Traceback|SQLSTATE|NullPointerException|Undefined index|upstream timed out"
 )
-# Forms of unfilled template fields. Fields hold names, not numbers or operators.
+# Forms of unfilled template fields, for the weak labels. Fields hold names, not numbers or operators.
 FIELD = (
     r"(?=[{$#<\[@_%【])(?:\{\{[^{}]*\p{L}[^{}]*\}\}|[$#]\{\s*\p{L}[^{}]*\}|<%[^<>]*\p{L}[^<>]*%>|\{%[^{}]*\p{L}[^{}]*%\}|\[\[[^\[\]]*\p{L}[^\[\]]*\]\]|<<[^<>]*\p{L}[^<>]*>>"
     r"|@@\p{L}[\p{L}\p{M}\p{N}_. ]*@@|__\p{L}[\p{L}\p{M}\p{N}. ]*(?:_[\p{L}\p{N}.]+)*__|%\p{Lu}[\p{Lu}\p{N}_.]{2,}%|\{\p{L}[\p{L}\p{M}\p{N}_.]*(?: \p{L}[\p{L}\p{M}\p{N}_.]*){0,3}\}"
     r"|\[\p{Lu}\p{Lu}+(?: \p{Lu}+)+\]|\[(?:请)?(?:输入|填写|插入|在此)[^\[\]]{1,20}\]|【(?:请)?(?:输入|填写|插入)?[^【】，。；！？\p{N}]{1,12}】|<\p{Ll}\p{L}*(?: \p{Ll}+){0,3}>|<\p{IsHan}{2,10}>)"
 )
 
+# Spans that may be a field.
+SPAN = re.compile(r"[$#]?\{{1,2}[^{}\n]{1,60}\}{1,2}|<{1,2}[^<>\n]{1,60}>{1,2}|\[{1,2}[^\[\]\n]{1,60}\]{1,2}|@@[^@\n]{1,60}@@|__[^\n]{1,40}?__|%[^%\s]{2,40}%|【[^【】\n]{1,40}】")
+SPAN_BUCKETS = 1 << 13
+
 _END = np.array([ord(c) for c in ".!?。！？;；:：”\"）)"], np.uint32)
 _ASK = np.array([ord(c) for c in "?？"], np.uint32)
 _CRUMB = np.array([ord(c) for c in "›»/>→"], np.uint32)
@@ -141,9 +151,9 @@ def bare_title(title: str = "title"):
     return F.regexp_replace(F.coalesce(F.col(title), F.lit("")), r"\s[|–-]\s[^|–-]*$", "")
 
 
-def fit(pages: DataFrame, rows: int = TRAIN_ROWS, rounds: int = 60, seed: int = 3) -> dict:
-    """Weights of the classifier, and its accuracy on the lines of hosts that weren't trained on."""
-    have = pages.where("id is not null and text is not null and text <> ''").select("id", "session", "host", "status", "text", title_kind().alias("kind"), ((F.length("text") < SHORT_PAGE) & F.col("text").rlike(PHRASES)).alias("phrase"))
+def fit(pages: DataFrame, rows: int = TRAIN_ROWS, rounds: int = 60, seed: int = 3, held_out: bool = False) -> dict:
+    """Weights of the classifier; with held_out a fifth of the hosts aren't trained on, and accuracy is that on their lines."""
+    have = pages.where((F.length("text") <= TRAIN_CHARS) & F.expr("id is not null and text <> ''")).select("id", "session", "host", "status", "text", title_kind().alias("kind"), ((F.length("text") < SHORT_PAGE) & F.col("text").rlike(PHRASES)).alias("phrase"))
     weak = (F.col("status").isin(*FAILED) | F.col("phrase")) & (F.length("text") < SHORT_PAGE)
     have = have.withColumn("weak", F.coalesce(weak, F.lit(False)))
     total, failed = have.agg(F.count("*"), F.count_if("weak")).first()
@@ -193,7 +203,7 @@ def fit(pages: DataFrame, rows: int = TRAIN_ROWS, rounds: int = 60, seed: int =
     b, line, wt = b[pick], np.searchsorted(used, line[pick]), wt[pick]
     at = np.searchsorted(line, np.arange(len(used)))
     y = np.eye(3, dtype=np.float32)[label[used]]
-    unseen = host[used] % 5 == 0
+    unseen = (host[used] % 5 == 0) & held_out
     train = ~unseen
     y[unseen] = 0
 
@@ -211,8 +221,78 @@ def fit(pages: DataFrame, rows: int = TRAIN_ROWS, rounds: int = 60, seed: int =
 
     w = learn(train, y)
     right = _scores(w, b, line, wt, at).argmax(axis=1) == label[used]
-    accuracy = float(right[unseen].mean()) if unseen.any() else float("nan")
-    return {"weights": learn(np.ones(len(used), bool), np.eye(3, dtype=np.float32)[label[used]]), "accuracy": accuracy, "lines": len(used)}
+    return {"weights": w, "accuracy": float(right[unseen].mean()) if unseen.any() else float("nan"), "lines": len(used)}
+
+
+def _shape(s: str) -> str:
+    """Kinds of characters in order, runs as one."""
+    kind = ["a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit() else "z" if c.isalpha() else c for c in s]
+    return "".join(c for i, c in enumerate(kind) if not i or c != kind[i - 1])
+
+
+def span_features(text: str, m: re.Match) -> list[int]:
+    """Buckets of a span: delimiters, shape, length, n-grams of its content, and whether it stands alone."""
+    span = m[0]
+    a = re.match(r"[^\w\s]+|_+", span)[0]
+    e = re.search(r"(?:[^\w\s]+|_+)$", span)[0]
+    inner = span[len(a) : len(span) - len(e)] if len(span) > len(a) + len(e) else ""
+    shape, words = _shape(inner), re.findall(r"[^\W_]+", inner.lower())
+    line = text[text.rfind("\n", 0, m.start()) + 1 : m.start()].strip() + text[m.end() : (text.find("\n", m.end()) + 1 or len(text) + 1) - 1].strip()
+    found = ["bias", "d" + a + e, "s" + shape, "ds" + a + shape, f"n{a}{min(len(inner), 20)}", f"w{a}{min(len(words), 6)}", f"alone{a}{not line}", "digit" + a * bool(re.search(r"\d", inner)), "stop" + a * bool(re.search(r"[,.;:!?，。；！？=|/]", inner))]
+    found += ["u" + w for w in words] + ["b" + x + " " + y for x, y in zip(words, words[1:])] + ["c" + inner[i : i + 3].lower() for i in range(len(inner) - 2)]
+    return [zlib.crc32(x.encode()) % SPAN_BUCKETS for x in found]
+
+
+def fit_fields(pages: DataFrame, rows: int = FIELD_ROWS, rounds: int = 120, held_out: bool = False) -> dict:
+    """Weights of the classifier of spans; with held_out a fifth of the hosts aren't trained on, and accuracy is that on their spans."""
+    total = pages.where("text <> ''").count()
+    some = pages.where((F.length("text") <= TRAIN_CHARS) & F.col("text").rlike(r"[{<\[【@_%]") & (F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1 << 20)) < int((1 << 20) * min(1, rows / max(total, 1)))))
+    p = some.select(F.coalesce("host", F.lit("")).alias("host"), "text", F.regexp_extract_all("text", F.lit(FIELD), F.lit(0)).alias("fields")).distinct().sort("host", "text").toPandas()
+    b, at, label, unseen, keep = [], [], [], [], set()
+    for host, text, fields in zip(p["host"], p["text"], p["fields"]):
+        fields = set(fields)
+        for m in SPAN.finditer(text):
+            x = span_features(text, m)
+            key = (host, *x)
+            if key not in keep:  # a span that a host repeats says the same
+                keep.add(key)
+                at.append(len(b))
+                b += x
+                label.append(m[0] in fields or any(f in m[0] for f in fields if len(f) > 3))
+                unseen.append(held_out and zlib.crc32(host.encode()) % 5 == 0)
+    if not label:
+        return {"weights": np.zeros(SPAN_BUCKETS, np.float32), "accuracy": float("nan"), "spans": 0}
+    b, at, label, unseen = np.array(b), np.array(at), np.array(label), np.array(unseen)
+    row = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(b))))
+    w, acc = np.zeros(SPAN_BUCKETS), np.full(SPAN_BUCKETS, 1e-6)
+    share = max(label[~unseen].mean() if (~unseen).any() else 0.5, 0.01)
+    weight = np.where(label, 0.5 / share, 0.5 / max(1 - share, 0.01)) * ~unseen
+    for _ in range(rounds):
+        g = (1 / (1 + np.exp(-np.add.reduceat(w[b], at))) - label) * weight
+        grad = np.bincount(b, g[row], SPAN_BUCKETS) + 0.01 * w
+        acc += grad * grad
+        w -= 0.3 * grad / np.sqrt(acc)
+    right = (np.add.reduceat(w[b], at) > 0) == label
+    return {"weights": w.astype(np.float32), "accuracy": float(right[unseen].mean()) if unseen.any() else float("nan"), "spans": len(at)}
+
+
+def _has_field(texts: pa.Array, cp: np.ndarray, off: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Which texts hold a span that the classifier takes for a field."""
+    nxt = np.append(cp[1:], 0) if len(cp) else cp
+    alpha = vec.tables()["alpha"](nxt)
+    may = np.isin(cp, (0x7B, 0x3C, 0x5B, 0x3010)) | ((cp == 64) & (nxt == 64)) | ((cp == 95) & (nxt == 95)) | ((cp == 37) & alpha)
+    out = np.zeros(len(off) - 1, bool)
+    for i in np.unique(np.searchsorted(off, np.flatnonzero(may), "right") - 1).tolist():
+        text = texts[i].as_py()
+        out[i] = any(weights[span_features(text, m)].sum() > 0 for m in SPAN.finditer(text))
+    return out
+
+
+def validation(pages: DataFrame) -> DataFrame:
+    """(classifier, cases, accuracy): accuracy of both classifiers on the weak labels of hosts that they weren't fitted on."""
+    a, b = fit(pages, held_out=True), fit_fields(pages, held_out=True)
+    rows = [("lines", a["lines"], round(a["accuracy"], 4)), ("fields", b["spans"], round(b["accuracy"], 4))]
+    return pages.sparkSession.createDataFrame(rows, "classifier string, cases long, accuracy double")
 
 
 LINES = "id long, session string, hk long, line_no int, lh long, cls int, margin float, form int, own boolean"
@@ -289,7 +369,7 @@ def blocks(pages: DataFrame, model: dict | None = None) -> DataFrame:
     return pages.join(cut, (F.col("id") == F.col("__irspark_id")) & (F.coalesce("session", F.lit("")) == F.col("__irspark_session")), "left").withColumn("main", F.array_join(keep, "\n")).drop("__irspark_id", "__irspark_session", "__irspark_cut")
 
 
-def _page_maker(weights: np.ndarray):
+def _page_maker(weights: np.ndarray, field_weights: np.ndarray):
     make = _line_maker(weights)
 
     def pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,24 +382,20 @@ def _page_maker(weights: np.ndarray):
                 good = ((cls == ARTICLE) & ((form == _SENTENCE) | (form == _ROW) | (margin > 1.0))) & (form != _FRAME_FORM)
                 body += np.bincount(i, good, b.num_rows)
                 residue += np.bincount(i, cls == RESIDUE, b.num_rows)
-            yield batch(id=b.column("id"), session=b.column("session"), field=b.column("field"), body=pa.array(body.astype(np.int64)), residue=pa.array(residue.astype(np.int64)))
+            yield batch(id=b.column("id"), session=b.column("session"), field=pa.array(_has_field(b.column("text"), *vec.codepoints(b.column("text")), field_weights)), body=pa.array(body.astype(np.int64)), residue=pa.array(residue.astype(np.int64)))
 
     return pages
 
 
-def residue(pages: DataFrame, model: dict | None = None) -> DataFrame:
+def residue(pages: DataFrame, model: dict | None = None, fields: dict | None = None) -> DataFrame:
     """(id, session, field, body, residue): whether a page holds an unfilled field, and how many lines are article and residue."""
-    model = fit(pages) if model is None else model
+    model, fields = fit(pages) if model is None else model, fit_fields(pages) if fields is None else fields
     rows = pages.where("id is not null and text is not null and text <> ''").select(
-        F.col("id").cast("long").alias("id"), "session", F.xxhash64("host").alias("hk"), "text", F.coalesce("title", F.lit("")).alias("title"), bare_title().alias("bare"), title_kind().alias("kind"), F.col("text").rlike(FIELD).alias("field")
+        F.col("id").cast("long").alias("id"), "session", F.xxhash64("host").alias("hk"), "text", F.coalesce("title", F.lit("")).alias("title"), bare_title().alias("bare"), title_kind().alias("kind")
     )
-    return rows.mapInArrow(_page_maker(model["weights"]), "id long, session string, field boolean, body long, residue long")
+    return rows.mapInArrow(_page_maker(model["weights"], fields["weights"]), "id long, session string, field boolean, body long, residue long")
 
 
 def found_residue(pages: DataFrame) -> DataFrame:
     """(id, session) of the pages to leave out: with an unfilled field, or with text but no article line."""
     return residue(pages).where("field or body = 0").select("id", "session").distinct()
-
-
-def pages_table(spark, sf: str) -> DataFrame:
-    return table(spark, sf, "pages")

@@ -91,6 +91,11 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return pages.found_residue(table(spark, sf, "pages"))
 
 
+def p7_validation(spark: SparkSession, sf: str) -> DataFrame:
+    """Accuracy of the classifiers on hosts that they weren't fitted on."""
+    return pages.validation(table(spark, sf, "pages"))
+
+
 def p8_pack(spark: SparkSession, sf: str) -> DataFrame:
     """Every text, or piece of an oversized one, with its container."""
     return packing.pack(packing.token_counts(table(spark, sf, "documents")))
@@ -123,6 +128,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         p1_found, p1_top10, p2_found, p2_cleaned, p3_borda, p4_found, p4_main, p5_found, p5_groups, p6_found, p6_consensus, p6_reliability,
-        p6_agreement, p7_found, p8_pack, p8_fill, p9_found, p9_matches, p10_found, p10_stretches,
+        p6_agreement, p7_found, p7_validation, p8_pack, p8_fill, p9_found, p9_matches, p10_found, p10_stretches,
     )
 }
