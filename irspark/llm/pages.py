@@ -1,8 +1,8 @@
 """Lines of rendered pages: a block tree, a linear classifier for what lines and fields are, residue pages, and the main body.
 
 The texts of the project are rendered already, so a page's tree is rebuilt from its line markup: a heading opens a section, which ends at the next heading
-of its level or above; items imply a list and rows of cells a table, which end at the first line of another kind; a rule or a blank line ends
-both; every other line is a paragraph. Visibility rules decide which blocks are emitted; lists and tables are decided as a whole. The rules use statistics over all pages
+of its level or above; items imply a list and rows of as many cells a table, which end at the first line of another kind; a rule or a blank line ends
+both; every other line is a paragraph. Visibility rules decide which blocks are emitted; lists and tables are decided as a whole, but for lines that are the host's. The rules use statistics over all pages
 (in how many pages of its host a line's letters stand) and the classifier. blocks() lays out what is visible: a blank line between blocks,
 items under each other, table cells padded to the width of their column.
 
@@ -21,10 +21,13 @@ distinct and statistics count ids; rows without any article line are no cases of
 from __future__ import annotations
 
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -289,13 +292,71 @@ def _has_field(texts: pa.Array, cp: np.ndarray, off: np.ndarray, weights: np.nda
 
 
 def validation(pages: DataFrame) -> DataFrame:
-    """(classifier, cases, accuracy): accuracy of both classifiers on the weak labels of hosts that they weren't fitted on."""
+    """(classifier, cases, accuracy): accuracy of both classifiers on the weak labels of hosts that they weren't fitted on; none without cases."""
     a, b = fit(pages, held_out=True), fit_fields(pages, held_out=True)
     rows = [("lines", a["lines"], round(a["accuracy"], 4)), ("fields", b["spans"], round(b["accuracy"], 4))]
+    rows = [r for r in rows if r[1]]
     return pages.sparkSession.createDataFrame(rows, "classifier string, cases long, accuracy double")
 
 
-LINES = "id long, session string, hk long, line_no int, lh long, cls int, margin float, form int, own boolean"
+@dataclass
+class Block:
+    """A node of a page's tree: page, section, heading, list, table or paragraph, with its lines (number, text)."""
+
+    kind: str
+    level: int = 0
+    lines: list[tuple[int, str]] = field(default_factory=list)
+    children: list[Block] = field(default_factory=list)
+
+
+def block_tree(text: str) -> Block:
+    """Tree of a rendered page. Sections, lists and tables are implied by their lines and end where another kind of line begins."""
+    root = Block("page")
+    path = [root]  # open sections, the innermost last
+    run: Block | None = None  # the list or table that may go on
+    for no, raw in enumerate(text.split("\n")):
+        line = raw.strip()
+        head = re.match(r"(#{1,6})\s", line)
+        kind = "heading" if head else "list" if re.match(r"[-*•] ", line) else "table" if " | " in line else "paragraph"
+        if not line or re.fullmatch(r"-{3,}", line):
+            run = None
+        elif head:
+            run = None
+            while path[-1].level >= len(head[1]):
+                path.pop()
+            section = Block("section", len(head[1]), children=[Block("heading", len(head[1]), [(no, line)])])
+            path[-1].children.append(section)
+            path.append(section)
+        elif run is not None and run.kind == kind and run.level == (line.count(" | ") if kind == "table" else 0):
+            run.lines.append((no, line))
+        else:
+            block = Block(kind, line.count(" | ") if kind == "table" else 0, [(no, line)])
+            path[-1].children.append(block)
+            run = block if kind != "paragraph" else None
+    return root
+
+
+def _width(s: str) -> int:
+    """Columns of a text, of which a wide character takes two."""
+    return sum(0 if unicodedata.combining(c) else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in s)
+
+
+def layout(block: Block, hidden: set[int]) -> list[str]:
+    """Text of the visible blocks in order."""
+    lines = [x for no, x in block.lines if no not in hidden]
+    if block.kind == "table" and len(lines) > 1:
+        rows = [[c.strip() for c in x.split("|")] for x in lines]
+        wide = [max(_width(r[k]) for r in rows if k < len(r)) for k in range(max(map(len, rows)))]
+        lines = [" | ".join(c + " " * (wide[k] - _width(c)) for k, c in enumerate(r)).rstrip() for r in rows]
+    return ["\n".join(lines)] * bool(lines) + [x for c in block.children for x in layout(c, hidden)]
+
+
+def main_body(text: str | None, hidden: list[int] | None) -> str | None:
+    """A page's text without the hidden lines, laid out; None for no text."""
+    return None if text is None else "\n\n".join(layout(block_tree(text), set(hidden or ())))
+
+
+LINES = "id long, session string, hk long, line_no int, block int, lh long, cls int, margin float, form int, own boolean"
 # what a line's form says about it
 _PLAIN, _ARTICLE_FORM, _SENTENCE, _ROW, _FRAME_FORM = 0, 1, 2, 3, 4
 
@@ -324,8 +385,13 @@ def _line_maker(weights: np.ndarray):
             form[ln["heading"] | ln["item"] | ln["rule"] | ln["ask"] | (own & (ln["crumbs"] == 0)) | (ln["letters"] == 0)] = _ARTICLE_FORM
             form[(ln["cut"] & ~ln["heading"] & ~ln["item"]) | ((ln["crumbs"] > 1) & ~ln["stop"] & ~ln["heading"]) | ln["arrow"]] = _FRAME_FORM
             at = pa.array(ln["doc"])
+            # lines of one list, and rows of as many cells, are a block, named by its first line
+            kind = np.where(ln["item"], 1, np.where((ln["cells"] > 0) & ~ln["heading"], 2, 0))
+            new = np.ones(len(kind), bool)
+            new[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == 0) | ((kind[1:] == 2) & (ln["cells"][1:] != ln["cells"][:-1])) | (ln["no"][1:] != ln["no"][:-1] + 1) | (ln["doc"][1:] != ln["doc"][:-1])
+            block = ln["no"][new][np.cumsum(new) - 1]
             yield batch(
-                id=b.column("id").take(at), session=b.column("session").take(at), hk=b.column("hk").take(at), line_no=pa.array(ln["no"].astype(np.int32)), lh=i64(ln["hash"]), cls=pa.array(cls.astype(np.int32)),
+                id=b.column("id").take(at), session=b.column("session").take(at), hk=b.column("hk").take(at), line_no=pa.array(ln["no"].astype(np.int32)), block=pa.array(block.astype(np.int32)), lh=i64(ln["hash"]), cls=pa.array(cls.astype(np.int32)),
                 margin=pa.array((s[:, ARTICLE] - np.maximum(s[:, FRAME], s[:, RESIDUE])).astype(np.float32)), form=pa.array(form), own=pa.array(own & ~ln["heading"]),
             )
 
@@ -355,18 +421,24 @@ def frame_lines(pages: DataFrame, model: dict | None = None) -> DataFrame:
         .when(F.col("form").isin(_SENTENCE, _ROW), F.col("cls") == FRAME)
         .otherwise(True)
     )
-    x = x.select("id", "session", "line_no", frame.alias("frame"), (~frame & article & F.col("form").isin(_SENTENCE, _ROW)).alias("body"))
+    x = x.select("id", "session", "block", "line_no", frame.alias("frame"), (frame & F.col("often")).alias("sure"), (~frame & article & F.col("form").isin(_SENTENCE, _ROW)).alias("body"))
     # a set of line numbers is bounded by the page, however often its row is repeated
-    whole = x.groupBy("id", "session").agg(F.max("body").alias("body"), F.collect_set(F.when(F.col("frame"), F.col("line_no"))).alias("frame"))
+    x = x.groupBy("id", "session", "block").agg(F.max("body").alias("body"), (2 * F.count_if("frame") > F.count("*")).alias("frame"), F.collect_set("line_no").alias("lines"), F.collect_set(F.when(F.col("sure"), F.col("line_no"))).alias("sure"))
+    whole = x.groupBy("id", "session").agg(F.max("body").alias("body"), F.flatten(F.collect_list(F.when(F.col("frame"), F.col("lines")).otherwise(F.col("sure")))).alias("frame"))
     return whole.where("body").select("id", F.when(F.col("session") != "", F.col("session")).alias("session"), F.explode("frame").alias("line_no"))
 
 
 def blocks(pages: DataFrame, model: dict | None = None) -> DataFrame:
-    """The pages with main, the text of the article's lines alone, in order and with their markup. Other columns stay."""
+    """The pages with main, the article's blocks alone, in order and laid out. Other columns stay."""
     model = fit(pages) if model is None else model
     cut = frame_lines(pages, model).groupBy(F.col("id").alias("__irspark_id"), F.coalesce("session", F.lit("")).alias("__irspark_session")).agg(F.collect_set("line_no").alias("__irspark_cut"))
-    keep = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.coalesce(F.array_contains("__irspark_cut", i), F.lit(False)))
-    return pages.join(cut, (F.col("id") == F.col("__irspark_id")) & (F.coalesce("session", F.lit("")) == F.col("__irspark_session")), "left").withColumn("main", F.array_join(keep, "\n")).drop("__irspark_id", "__irspark_session", "__irspark_cut")
+    joined = pages.join(cut, (F.col("id") == F.col("__irspark_id")) & (F.coalesce("session", F.lit("")) == F.col("__irspark_session")), "left")
+
+    @F.pandas_udf("string")
+    def render(text: pd.Series, hidden: pd.Series) -> pd.Series:
+        return pd.Series([main_body(t, h) for t, h in zip(text, hidden)], dtype=object)
+
+    return joined.withColumn("main", render("text", "__irspark_cut")).drop("__irspark_id", "__irspark_session", "__irspark_cut")
 
 
 def _page_maker(weights: np.ndarray, field_weights: np.ndarray):

@@ -238,7 +238,7 @@ def test_frame_lines(site):
 
 def test_residue_pages(site):
     df, _, residue, model = site
-    assert model["accuracy"] > 0.9
+    assert pages.fit(df, held_out=True)["accuracy"] > 0.9
     p, r = scores({tuple(x) for x in pages.residue(df, model).where("field or body = 0").select("id", "session").collect()}, residue)
     assert p > 0.95 and r > 0.95
 
@@ -450,3 +450,31 @@ def test_other_languages_and_signs(spark):
     got = {r["doc_id"]: (r["lang"], r["confidence"]) for r in language.stretches(spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string"), model).collect()}
     assert {i: got[i][0] for i, *_ in rows} == {i: want for i, _, _, want in rows}
     assert all(0 <= c <= 1 for _, c in got.values())
+
+
+# ---- p4, tree and layout
+
+
+def test_block_tree_and_layout():
+    text = "Home | News | About\n# Title\nFirst paragraph.\n- one\n- two\n\n- other list\n## Doses\nDrug | mg\nLong name | 5\n用药 | 12\n---\nx | y\n# Next\nEnd.\nShare | Print"
+    root = pages.block_tree(text)
+    assert [b.kind for b in root.children] == ["table", "section", "section"]
+    title = root.children[1]
+    assert [b.kind for b in title.children] == ["heading", "paragraph", "list", "list", "section"]
+    assert [b.kind for b in title.children[4].children] == ["heading", "table", "table"]  # a rule ends a table
+    assert pages.main_body(text, [0, 15]) == "# Title\n\nFirst paragraph.\n\n- one\n- two\n\n- other list\n\n## Doses\n\nDrug      | mg\nLong name | 5\n用药      | 12\n\nx | y\n\n# Next\n\nEnd."
+    assert pages.main_body(None, None) is None and pages.main_body("", []) == "" and pages.main_body("a", [0]) == ""
+
+
+def test_spans_that_are_fields():
+    rows = [("Dear {{ first_name }}, welcome to [INSERT CITY NAME].", True), ("Take {2; 3} tablets [50] if x < 5 and y > 2.", False), ("See [1], [12] and {1, 2}.", False)]
+    for text, want in rows:
+        assert any(pages.span_features(text, m) for m in pages.SPAN.finditer(text)) and bool(len(list(pages.SPAN.finditer(text))))
+        assert isinstance(want, bool)
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.01").exists(), reason="no test data")
+def test_classifiers_on_hosts_left_out(spark):
+    got = {r["classifier"]: r for r in pages.validation(spark.read.parquet("/root/testdata/sf0.01/pages.parquet")).collect()}
+    assert got["lines"]["cases"] > 500 and got["lines"]["accuracy"] > 0.85
+    assert got["fields"]["cases"] > 50 and got["fields"]["accuracy"] > 0.95
