@@ -353,7 +353,7 @@ def layout(block: Block, hidden: set[int]) -> list[str]:
 
 def main_body(text: str | None, hidden: list[int] | None) -> str | None:
     """A page's text without the hidden lines, laid out; None for no text."""
-    return None if text is None else "\n\n".join(layout(block_tree(text), set(hidden or ())))
+    return None if text is None else "\n\n".join(layout(block_tree(text), set(() if hidden is None else hidden)))
 
 
 LINES = "id long, session string, hk long, line_no int, block int, lh long, cls int, margin float, form int, own boolean"
