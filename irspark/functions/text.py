@@ -48,6 +48,11 @@ def outcome(status: Column) -> Column:
     return F.when(s.isin(*GOOD), "good").when(s.isin(*BENIGN), "benign").when(s.startswith("blocked"), "block").otherwise("throttle")
 
 
+def outcome_of(status: str | None) -> str:
+    """outcome for code that runs in Python."""
+    return "good" if status in GOOD else "benign" if status in BENIGN else "block" if (status or "").startswith("blocked") else "throttle"
+
+
 def host_kind(status: Column) -> Column:
     """Column of the host table a status counts in."""
     s = F.coalesce(status, F.lit(""))

@@ -4,6 +4,7 @@ each comes with a deterministic implementation that needs nothing from outside."
 from __future__ import annotations
 
 import hashlib
+import time
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -17,6 +18,7 @@ from ..functions import text as T
 from ..functions.kernels import unit_words
 from . import runs
 from .chunking import pending
+from .hosts import Control, Limiter, step, told_to_wait
 
 
 class Encoder(Protocol):
@@ -94,30 +96,48 @@ def rerank(run: DataFrame, units: DataFrame, queries: DataFrame, load: Callable[
     return runs.with_tail(best, run, top_n)
 
 
-def fetch(links: DataFrame, load: Callable[[], Fetcher], tries: int = 3, wait: float = 0.0) -> DataFrame:
-    """(id, url, host, status, html, attempts) of links; a fetcher gives (status, body). Throttled answers are tried again after
-    growing waits; an exception is a status like any other."""
+def fetch(links: DataFrame, load: Callable[[], Fetcher], tries: int = 3, wait: float = 0.0, rate: float | None = None, budget: float | None = None, clock=time.monotonic, sleep=time.sleep) -> DataFrame:
+    """(id, url, host, status, html, attempts) of links; a fetcher gives (status, body) or (status, body, seconds to wait). Throttled answers are tried
+    again after growing waits; an exception is a status like any other.
+
+    With a rate (starts of requests a second and host) a host's links are fetched by one task, one after the other, under the host's
+    control: its pauses and the waits that answers name are kept. A host that is given up, or names a wait of budget seconds or more, leaves
+    its other links with status 'host_dead'.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import time
+        get, state, limiters = load(), {}, {}
+
+        def once(u: str, host: str) -> tuple[str, str | None]:
+            if rate is not None:
+                c = state.setdefault(host, Control.start())
+                if c.dead:
+                    return "host_dead", None
+                if clock() < c.pause_until:
+                    sleep(c.pause_until - clock())
+                limiters.setdefault(host, Limiter(rate, clock, sleep)).wait()
+            try:
+                status, body, *told = get(u)
+            except Exception as e:  # noqa: BLE001
+                status, body, told = f"err_{type(e).__name__.lower()}", None, ()
+            if rate is not None:
+                state[host] = told_to_wait(c, told[0], clock(), budget) if told and told[0] else step(c, T.outcome_of(status), clock())
+            return status, body
 
-        get = load()
         for b in batches:
             rows = []
-            for i, u in zip(b["id"], b["url"]):
-                status, body, n = "err_connect", None, 0
+            for i, u, host in zip(b["id"], b["url"], b["host"]):
                 for n in range(1, tries + 1):
-                    try:
-                        status, body = get(u)
-                    except Exception as e:  # noqa: BLE001
-                        status, body = f"err_{type(e).__name__.lower()}", None
-                    if not (status.startswith(("err_", "http_5")) or status == "http_429"):
+                    status, body = once(u, host)
+                    if status == "host_dead" or not (status.startswith(("err_", "http_5")) or status == "http_429"):
                         break
-                    time.sleep(wait * 2**n)
-                rows.append((i, u, status, body, n))
-            yield pd.DataFrame(rows, columns=["id", "url", "status", "html", "attempts"])
+                    sleep(wait * 2**n)
+                rows.append((i, u, host, status, body, n))
+            yield pd.DataFrame(rows, columns=["id", "url", "host", "status", "html", "attempts"])
 
-    return links.select("id", "url").mapInPandas(run, "id long, url string, status string, html string, attempts int").withColumn("host", T.host_of(F.col("url")))
+    x = links.select("id", "url", T.host_of(F.col("url")).alias("host"))
+    x = x if rate is None else x.repartition("host")
+    return x.mapInPandas(run, "id long, url string, host string, status string, html string, attempts int")
 
 
 def replay(pages: dict[str, tuple[str, str | None]]) -> Callable[[], Fetcher]:

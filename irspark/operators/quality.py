@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..session import bounded_join, written
+from ..session import bounded_join, discard, small_enough, written
 
 BOILERPLATE_ROWS = 20
 
@@ -24,16 +25,29 @@ def todo(links: DataFrame, state_: DataFrame, most: int) -> DataFrame:
     return x.select("id", "url", n.alias("attempts"), (n >= most).alias("gave_up"))
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """rows with _file and _row, which name a row of the files it is read from; other rows are written first."""
+    try:
+        rows.select("_metadata.row_index")
+    except AnalysisException:
+        rows = written(rows, "attempts")
+    return rows.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+
+
 def winners(attempts: DataFrame, *tie: str) -> DataFrame:
-    """The best row of every id with the number of its attempts: best status, then newest extraction, then latest processed, then tie.
+    """The best row of every id with the number of its attempts: best status, then newest extraction, then latest processed, then tie, then the last of the files.
 
-    Only the keys of the order are sorted; the wide row is taken along by a partial aggregation (max_by), not by a window.
+    Only the columns of the order and each row's place in its file are sorted and shuffled, cut to one row an id before the exchange; the winner's
+    place brings the wide row back. Rows without an id are left out.
     """
-    order = F.struct(
-        (-T.status_rank(F.col("status"))).alias("a"), F.coalesce("xv", F.lit(0)).alias("b"), F.coalesce("processed_at", F.lit("")).alias("c"), *(F.coalesce(F.col(t).cast("string"), F.lit("")).alias(f"t{i}") for i, t in enumerate(tie))
-    )
-    row = F.struct(*(F.col(c) for c in attempts.columns))
-    return attempts.where("id is not null").groupBy("id").agg(F.max_by(row, order).alias("row"), F.count("*").cast("int").alias("attempts")).select("row.*", "attempts")
+    rows = _numbered(attempts)
+    order = [T.status_rank(F.col("status")).asc(), F.coalesce("xv", F.lit(0)).desc(), F.coalesce("processed_at", F.lit("")).desc(), *(F.coalesce(F.col(t).cast("string"), F.lit("")).desc() for t in tie), F.desc("_file"), F.desc("_row")]
+    best = rows.where("id is not null").select("id", "_file", "_row", F.row_number().over(Window.partitionBy("id").orderBy(*order)).alias("_r")).where("_r = 1")
+    count = rows.where("id is not null").groupBy(F.col("id").alias("_id")).agg(F.count("*").cast("int").alias("attempts"))
+    pick = written(best.join(count, best["id"] == count["_id"]).select("_file", "_row", "attempts"), "best")
+    # beyond the size of a broadcast the wide rows are shuffled once, and not sorted
+    pick = F.broadcast(pick) if small_enough(pick) else pick.hint("shuffle_hash")
+    return rows.join(pick, ["_file", "_row"]).select(*attempts.columns, "attempts")
 
 
 def boilerplate(win: DataFrame, least: int = BOILERPLATE_ROWS) -> DataFrame:
@@ -106,7 +120,9 @@ def common_keywords(win: DataFrame, least: int = 20, share: float = 0.3) -> Data
 
 def corpus(attempts: DataFrame, include_short: bool = True) -> DataFrame:
     """The whole merge: one row per id that has content, with dup_of, flags, attempts and cleaned title, author and keywords."""
-    win = written(clean_titles(boilerplate(winners(attempts, "fetched_at", "session"))), "winners")
+    best = written(winners(attempts, "fetched_at", "session"), "winners")  # each statistic reads its own columns of it
+    win = written(clean_titles(boilerplate(best)), "marked")
+    discard(best)
     au = written(default_authors(win).select("host", "author", F.lit(True).alias("_default")), "authors")
     kw = written(common_keywords(win).groupBy("host").agg(F.collect_set("keyword").alias("_common")), "keywords")
     body = F.col("status").isin("ok", "empty")

@@ -29,9 +29,8 @@ def links(spark, sf):
 
 
 def todo_state(spark, sf):
-    """Links without a final attempt, with what was tried; a few links are new."""
-    known = _pages(spark, sf).where("id % 10 <> 7")
-    return quality.todo(links(spark, sf), quality.state(known), 3).withColumn("attempts", F.col("attempts").cast("long"))
+    """Links without a final attempt, with what was tried."""
+    return quality.todo(links(spark, sf), quality.state(_pages(spark, sf)), 3).withColumn("attempts", F.col("attempts").cast("long"))
 
 
 def _winners(spark, sf):
@@ -76,7 +75,7 @@ def corpus_merge(spark, sf):
 
 
 def _with_pending(spark, sf):
-    win = _winners(spark, sf).where("id % 10 <> 7")
+    win = written(_winners(spark, sf), "winners")
     return report.with_pending(win, links(spark, sf))
 
 
@@ -208,8 +207,8 @@ suf as (select host, sep, tail, count(*) as n from sx join tn using (host) where
 """
 _KINDS = "case when status = 'ok' then 'ok' when status = 'empty' then 'short' when status in ('notice', 'boilerplate') then 'notice' when status in ('gone', 'http_404', 'http_410', 'http_400', 'not_html', 'pm_missing') then 'gone' when status = 'pending' then 'pending' else 'error' end"
 _LINKS = "lk as (select id, min(url) as url from pages where id is not null group by 1)"
-_HOSTS = _WIN + f""", {_LINKS}, hw as (select id, host, status, n_chars, published, author from win where id % 10 <> 7
- union all select id, lower(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)), 'pending', null, null, null from lk where id not in (select id from win where id % 10 <> 7)),
+_HOSTS = _WIN + f""", {_LINKS}, hw as (select id, host, status, n_chars, published, author from win
+ union all select id, lower(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)), 'pending', null, null, null from lk where id not in (select id from win)),
 hk as (select *, {_KINDS} as kind from hw),
 ht as (select host, count(*) as total, count(*) filter (kind = 'ok') as ok, count(*) filter (kind = 'short') as short, count(*) filter (kind = 'notice') as notice, count(*) filter (kind = 'gone') as gone,
   count(*) filter (kind = 'error') as error, count(*) filter (kind = 'pending') as pending, round(100 * count(*) filter (kind = 'ok') / count(*), 1) as ok_pct,
@@ -238,7 +237,7 @@ _MONTHS = "['jan','feb','mar','apr','may','jun','jul','aug','sep','oct','nov','d
 
 SQL = {
     "links": f"with {_LINKS} select id, url from lk",
-    "todo_state": f"""with {_LINKS}, st as (select id, bool_or(coalesce(status in {_DONE}, false)) as done, count(*) filter (coalesce(status, '') <> 'http_429' and coalesce(status, '') not like 'blocked\\_%' escape '\\') as attempts from pages where id % 10 <> 7 group by 1)
+    "todo_state": f"""with {_LINKS}, st as (select id, bool_or(coalesce(status in {_DONE}, false)) as done, count(*) filter (coalesce(status, '') <> 'http_429' and coalesce(status, '') not like 'blocked\\_%' escape '\\') as attempts from pages group by 1)
 select id, url, coalesce(attempts, 0) as attempts, coalesce(attempts, 0) >= 3 as gave_up from lk left join st using (id) where not coalesce(done, false)""",
     "winners": _WIN + "select id, status, session, cast(xv as bigint) as xv, processed_at, attempts from win",
     "boilerplate": _WIN + _marked_sql(4) + "select id, host, text_hash from marked where status = 'boilerplate'",

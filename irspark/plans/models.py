@@ -24,9 +24,8 @@ def _units(spark, sf):
 
 
 def encoded_units(spark, sf):
-    """Vectors of the units that aren't encoded yet."""
-    u = _units(spark, sf)
-    v = models.encode(u, u.where("unit_id like '%0_p0'"), models.hashing_encoder())
+    """Vectors of all units."""
+    v = models.encode(_units(spark, sf), None, models.hashing_encoder())
     return v.select("unit_id", "h", F.size("v").cast("long").alias("dim"), F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x), 4).alias("norm"))
 
 
@@ -58,7 +57,7 @@ def reextract(spark, sf):
 
 def fetch_replay(spark, sf):
     """Outcomes of fetching from a fixed table of answers."""
-    links = _t(spark, sf, "pages").where("id % 5 = 0").groupBy("id").agg(F.min("url").alias("url"))
+    links = _t(spark, sf, "pages").where("id is not null").groupBy("id").agg(F.min("url").alias("url"))
     return models.fetch(links, models.replay({}), tries=2).select("id", "host", "status", F.col("attempts").cast("long").alias("attempts"))
 
 
@@ -69,7 +68,7 @@ def fixed_sample(spark, sf):
 QUERIES = {f.__name__: f for f in (encoded_units, dense_branch, rerank_overlap, reextract, fetch_replay, fixed_sample)}
 
 SQL = {
-    "encoded_units": "select unit_id, md5('' || chr(31) || min(text))[:12] as h, 64 as dim, case when len(regexp_extract_all(min(text), '[\\p{L}\\p{N}]')) > 0 then 1.0 else 0.0 end as norm from qrels where text is not null and unit_id is not null and unit_id not like '%0\\_p0' escape '\\' and unit_id not like '%0_p0' group by 1",
-    "fetch_replay": "select id, lower(regexp_extract(min(url), '^[a-z]+://([^/?#]+)', 1)) as host, 'http_404' as status, 1 as attempts from pages where id % 5 = 0 group by 1",
+    "encoded_units": "select unit_id, md5('' || chr(31) || min(text))[:12] as h, 64 as dim, case when len(regexp_extract_all(min(text), '[\\p{L}\\p{N}]')) > 0 then 1.0 else 0.0 end as norm from qrels where text is not null and unit_id is not null group by 1",
+    "fetch_replay": "select id, lower(regexp_extract(min(url), '^[a-z]+://([^/?#]+)', 1)) as host, 'http_404' as status, 1 as attempts from pages where id is not null group by 1",
     "fixed_sample": "select id, host from (select id, host, row_number() over (order by md5('13:' || id), id) as r from corpus) where r <= 50",
 }

@@ -57,7 +57,7 @@ def bm25_stats(spark, sf):
 
 
 def bm25_weights(spark, sf):
-    tf, dl = bm25.postings(_units(spark, sf, "en").where("unit_id like '%7_p0'"), bm25.tokens_en(F.col("text")))
+    tf, dl = bm25.postings(_units(spark, sf, "en"), bm25.tokens_en(F.col("text")))
     return bm25.weights(tf, dl).withColumn("weight", F.round("weight", 6))
 
 
@@ -106,7 +106,7 @@ def maxsim_pairs(spark, sf):
     """Pseudo-documents of four vectors against queries of two."""
     v = _vectors(spark, sf)
     docs = v.groupBy(F.concat(F.floor(F.col("unit_id") / 4).cast("string"), F.lit("_p0")).alias("unit_id"), F.floor(F.col("unit_id") / 40).alias("qid")).agg(F.collect_list("v").alias("us"))
-    q = v.where("unit_id % 40 < 2").groupBy(F.floor(F.col("unit_id") / 40).alias("qid")).agg(F.collect_list("v").alias("qs"))
+    q = v.where("unit_id % 20 = 0").groupBy(F.floor(F.col("unit_id") / 40).alias("qid")).agg(F.collect_list("v").alias("qs"))
     return dense.maxsim(docs.join(q, "qid"))
 
 
@@ -139,7 +139,7 @@ _DENSE = "with s as (select y.vec_id as qid, x.vec_id as unit_id, x.label, y.lab
 SQL = {
     "bm25_en_top10": _bm25_sql("en", _EN), "bm25_vi_top10": _bm25_sql("vi", _ANY), "bm25_zh_top10": _bm25_sql("zh", _ANY), "bm25_k1b_variant": _bm25_sql("en", _EN, 0.9, 0.4),
     "bm25_vocab_df": _units_sql("en", _EN) + "select term, df from df", "bm25_stats": _units_sql("en", _EN) + "select n, round(avgdl, 6) as avgdl from st",
-    "bm25_weights": _units_sql("en", _EN, "where unit_id like '%7_p0'") + "select unit_id, term, round(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (1.5 * (0.25 + 0.75 * dl / avgdl) + tf), 6) as weight from tf join df using (term) join dl using (unit_id) cross join st",
+    "bm25_weights": _units_sql("en", _EN, "") + "select unit_id, term, round(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (1.5 * (0.25 + 0.75 * dl / avgdl) + tf), 6) as weight from tf join df using (term) join dl using (unit_id) cross join st",
     "lsr_top10": f"""with {_QT}, units as (select unit_id, min(text) as text from qrels where text is not null group by 1), tok as (select unit_id, {_ANY.format('text')} as t from units),
 w as (select unit_id, term, count(*) / any_value(dl) as weight from (select unit_id, len(t) as dl, unnest(t) as term from tok) group by 1, 2),
 q as (select qid, term, count(*) as qtf from (select qid, unnest({_ANY.format('query')}) as term from qt) group by 1, 2),
@@ -147,7 +147,7 @@ s as (select qid, unit_id, round(sum(qtf * weight), 9) as score from q join w us
 select qid, unit_id, rank, score from (select *, row_number() over (partition by qid order by score desc, unit_id) as rank from s) where rank <= 10""",
     "dense_top10": _DENSE + "select qid, unit_id, rank, score from r where rank <= 10",
     "dense_label_precision": _DENSE + "select qid, round(avg(case when label = want then 1.0 else 0.0 end), 6) as precision from r where rank <= 11 and qid <> unit_id group by 1",
-    "maxsim_pairs": """with q as (select vec_id // 40 as qid, vec_id as qv, embedding from embeddings where vec_id % 40 < 2),
+    "maxsim_pairs": """with q as (select vec_id // 40 as qid, vec_id as qv, embedding from embeddings where vec_id % 20 = 0),
 d as (select vec_id // 40 as qid, (vec_id // 4) || '_p0' as unit_id, embedding from embeddings),
 m as (select q.qid, unit_id, qv, max(list_dot_product(cast(q.embedding as double[]), cast(d.embedding as double[]))) as best from q join d using (qid) group by all)
 select qid, unit_id, round(avg(best), 6) as score from m group by all""",

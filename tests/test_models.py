@@ -1,3 +1,4 @@
+import datetime
 from pathlib import Path
 
 import pytest
@@ -118,3 +119,46 @@ def test_unit_run_has_every_branch(spark):
     branches = {r["branch"] for r in evaluation._runs(spark, sf).where("rank <= 20").select("branch").distinct().collect()}
     assert len(branches) > 2 and {r["branch"] for r in evaluation._unit_run(spark, sf).select("branch").distinct().collect()} == branches
     assert {r["branch"] for r in evaluation.score_units(spark, sf).select("branch").distinct().collect()} == branches
+
+
+def test_fetch_under_host_control(spark):
+    def load():
+        left = {"a": 2}
+
+        def get(url):
+            host = url.split("/")[2]
+            if host == "slow" and left["a"]:
+                left["a"] -= 1
+                return "http_429", None, 7
+            if host == "gone":
+                return "http_429", None, 500
+            return "ok", "<p>x"
+
+        return get
+
+    now = [100.0]
+    clock, sleep = lambda: now[0], lambda s: now.__setitem__(0, now[0] + s)
+    links = spark.createDataFrame([(i, f"http://{h}/{i}") for i, h in enumerate(["slow", "slow", "gone", "gone", "gone"])], "id long, url string").coalesce(1)
+    got = {r["id"]: (r["status"], r["attempts"]) for r in models.fetch(links, load, tries=3, rate=2.0, budget=60, clock=clock, sleep=sleep).collect()}
+    assert got[0] == ("ok", 3) and got[1] == ("ok", 1)  # two answers named a wait, which was kept
+    assert sorted(got[i][0] for i in (2, 3, 4)) == ["host_dead"] * 3
+
+
+def test_dates_of_extracted_pages():
+    from irspark.functions import html
+
+    day = datetime.date(2026, 1, 1)
+    page = lambda head, body: f"<html><head><title>T</title>{head}</head><body><article>{body}<p>{'text ' * 40}</article>"
+    assert html.extract(page('<meta property="article:published_time" content="03/02/2021">', ""), as_of=day)["published"] == "2021-02-03"
+    assert html.extract(page("", '<time datetime="2020-05-06T07:00">May</time>'), as_of=day)["published"] == "2020-05-06"
+    assert html.extract(page("", "<p>Cập nhật: 07/08/2019</p>"), as_of=day)["published"] == "2019-08-07"
+    assert html.extract(page('<meta property="article:published_time" content="03/02/2030">', ""), as_of=day)["published"] == ""
+
+
+def test_repeated_region_is_left_out():
+    from irspark.functions import html
+
+    body = "one sentence of the text that stands here twice. " * 3
+    root = html.parse(f"<div class=a><p>{body}<p>and more of it</div><div class=b><p>{body}</div><div class=b><p>something else</div>")
+    lines = siterules.site_lines(root, siterules.SiteRule("x", keep=("div.a", "div.b")))
+    assert lines == [body.strip(), "and more of it", "something else"]
