@@ -2,8 +2,10 @@
 
 Every item has a true class; every annotator has a row of answer probabilities for each true class. Classes and rows have Dirichlet
 priors. The updates are group-bys: an item's class probabilities from the expected log-probabilities (digammas) of its labels, an
-annotator's row counts from the class probabilities of the items it labelled. Reported are the consensus and its probability, each
-annotator's expected accuracy with a posterior interval, and Krippendorff's alpha.
+annotator's row counts from the class probabilities of the items it labelled. Labels are laid out by item once, so that a round is one exchange of
+partial counts by annotator; only the annotators' table is written between rounds. Rounds end when its counts no longer change (TOLERANCE);
+where ROUNDS don't suffice a warning says so. Reported are the consensus and its probability, each annotator's expected accuracy with a credible
+interval (quantiles of the Beta distribution with the posterior's mean and variance), and Krippendorff's alpha.
 
 Defined results: grades out of CLASSES, null grades, null items and null annotators are left out; repeated rows count once; where an
 annotator gave an item several grades, the lowest counts; equal probabilities go to the lower grade; empty input gives empty results.
@@ -11,16 +13,22 @@ annotator gave an item several grades, the lowest counts; equal probabilities go
 
 from __future__ import annotations
 
+import warnings
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
-from ..session import bounded_join, written
+from ..session import bounded_join, discard, written
 
 CLASSES = (0, 1, 2)
-#: Rounds at most, and the change per item of the classes' weights and of the certainty at which they end.
-ROUNDS, TOLERANCE = 15, 2e-5
+#: Rounds at most, and the change of the annotators' counts, as a share of all labels, at which they end.
+ROUNDS, TOLERANCE = 60, 1e-5
+#: Mass of a credible interval.
+CREDIBLE = 0.95
 #: Pseudo-counts of the priors: for a class, for a right and for each wrong answer.
 PRIOR_CLASS, PRIOR_RIGHT, PRIOR_WRONG = 1.0, 2.0, 1.0
 MIN_LABELERS = 3
@@ -39,38 +47,57 @@ def answers(labels: DataFrame, item: str = "item", labeler: str = "labeler", gra
     return labels.where(ok).groupBy(F.col(item).alias("item"), F.col(labeler).alias("labeler")).agg(F.min(grade).cast("int").alias("grade"))
 
 
+_Q = [f"q{k}" for k in CLASSES]
+_CELLS = [f"b_{k}_{l}" for k in CLASSES for l in CLASSES]
+
+
+def _posterior(labels: DataFrame, conf: DataFrame, mass: list[float]) -> DataFrame:
+    """(item, q.., n) by the annotators' counts and the classes' mass."""
+    rows = {k: reduce(Column.__add__, [F.col(f"b_{k}_{l}") for l in CLASSES]) for k in CLASSES}
+    # one row for each annotator and answer: the expected log-probability of that answer under each true class
+    answer = lambda l: F.struct(F.lit(l).alias("grade"), *((digamma(F.col(f"b_{k}_{l}")) - digamma(rows[k])).alias(f"e{k}") for k in CLASSES))
+    logs = conf.select("labeler", F.explode(F.array(*map(answer, CLASSES))).alias("x")).select("labeler", "x.*")
+    scored = bounded_join(labels, logs, ["labeler", "grade"]).groupBy("item").agg(*(F.sum(f"e{k}").alias(f"e{k}") for k in CLASSES), F.count("*").alias("n"))
+    total = [PRIOR_CLASS + m for m in mass]
+    scored = scored.select("item", "n", *((F.col(f"e{k}") + digamma(F.lit(float(total[k]))) - digamma(F.lit(float(sum(total))))).alias(f"e{k}") for k in CLASSES))
+    top = F.greatest(*(F.col(f"e{k}") for k in CLASSES))
+    ex = [F.exp(F.col(f"e{k}") - top) for k in CLASSES]
+    return scored.select("item", *((ex[k] / reduce(Column.__add__, ex)).alias(f"q{k}") for k in CLASSES), "n")
+
+
+def _counts(labels: DataFrame, items: DataFrame) -> DataFrame:
+    """Annotators' expected counts with the priors, and m.., what their labels add to the classes' mass, by the items' class probabilities. Both sides are laid out by item."""
+    cells = [F.sum(F.when(F.col("grade") == l, F.col(f"q{k}")).otherwise(0.0)).alias(f"b_{k}_{l}") for k in CLASSES for l in CLASSES]
+    sums = labels.join(items, "item").groupBy("labeler").agg(*cells, *(F.sum(F.col(f"q{k}") / F.col("n")).alias(f"m{k}") for k in CLASSES))
+    prior = lambda c: PRIOR_RIGHT if c[2] == c[4] else PRIOR_WRONG
+    return sums.select("labeler", *((F.col(c) + prior(c)).alias(c) for c in _CELLS), *(f"m{k}" for k in CLASSES))
+
+
 def model(labels: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
     """(items, annotators) of answers().
 
     items: (item, q0.., n). annotators: (labeler, b_k_l: expected counts of answer l for true class k, with the priors).
     """
-    labels = written(labels, "answers")
-    q = [f"q{k}" for k in CLASSES]
-    item = labels.groupBy("item").agg(*((F.sum((F.col("grade") == k).cast("double")) / F.count("*")).alias(f"q{k}") for k in CLASSES), F.count("*").alias("n"))
-    item = written(item, "items")
-    conf, before = None, None
+    labels = written(labels, "answers").repartition("item").persist(StorageLevel.MEMORY_AND_DISK)  # what is lost with an executor is read again
+    start = labels.groupBy("item").agg(*((F.sum((F.col("grade") == k).cast("double")) / F.count("*")).alias(f"q{k}") for k in CLASSES), F.count("*").alias("n"))
+    conf = written(_counts(labels, start), "confusion")
+    mass_of = lambda c: [c.agg(F.coalesce(F.sum(f"m{k}"), F.lit(0.0))).first()[0] for k in CLASSES]
+    mass, converged = mass_of(conf), False
     for _ in range(rounds):
-        top = F.greatest(*q)
-        mass = item.agg(*(F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in q), F.coalesce(F.sum(top), F.lit(0.0)).alias("sure"), F.count("*").alias("n")).first()
-        now = [mass[c] for c in (*q, "sure")]
-        if conf is not None and before is not None and max(abs(a - b) for a, b in zip(now, before)) <= TOLERANCE * max(1, mass["n"]):
+        now = written(_counts(labels, _posterior(labels, conf, mass)), "confusion")
+        old = conf.select("labeler", *(F.col(c).alias(f"old_{c}") for c in _CELLS))
+        moved, size, *mass = bounded_join(now, old, ["labeler"]).agg(
+            F.coalesce(F.sum(reduce(Column.__add__, [F.abs(F.col(c) - F.col(f"old_{c}")) for c in _CELLS])), F.lit(0.0)), F.coalesce(F.sum(reduce(Column.__add__, map(F.col, _CELLS))), F.lit(1.0)), *(F.coalesce(F.sum(f"m{k}"), F.lit(0.0)) for k in CLASSES)
+        ).first()
+        discard(conf)
+        conf, converged = now, moved <= TOLERANCE * size
+        if converged:
             break
-        before = now
-        joined = labels.join(item.select("item", *q), "item")
-        cells = [F.sum(F.when(F.col("grade") == l, F.col(f"q{k}")).otherwise(0.0)).alias(f"b_{k}_{l}") for k in CLASSES for l in CLASSES]
-        counts = joined.groupBy("labeler").agg(*cells)
-        conf = written(counts.select("labeler", *((F.col(f"b_{k}_{l}") + (PRIOR_RIGHT if k == l else PRIOR_WRONG)).alias(f"b_{k}_{l}") for k in CLASSES for l in CLASSES)), "confusion")
-        total = [PRIOR_CLASS + mass[c] for c in q]
-        rows = {k: reduce(Column.__add__, [F.col(f"b_{k}_{l}") for l in CLASSES]) for k in CLASSES}
-        # one row for each annotator and answer: the expected log-probability of that answer under each true class
-        logs = conf.select("labeler", F.explode(F.array(*(F.struct(F.lit(l).alias("grade"), *((digamma(F.col(f"b_{k}_{l}")) - digamma(rows[k])).alias(f"e{k}") for k in CLASSES)) for l in CLASSES))).alias("x")).select("labeler", "x.*")
-        scored = bounded_join(labels, logs, ["labeler", "grade"]).groupBy("item").agg(*(F.sum(f"e{k}").alias(f"e{k}") for k in CLASSES), F.count("*").alias("n"))
-        prior = [F.lit(float(t)) for t in total]
-        scored = scored.select("item", "n", *((F.col(f"e{k}") + digamma(prior[k]) - digamma(F.lit(float(sum(total))))).alias(f"e{k}") for k in CLASSES))
-        top = F.greatest(*(F.col(f"e{k}") for k in CLASSES))
-        ex = [F.exp(F.col(f"e{k}") - top) for k in CLASSES]
-        item = written(scored.select("item", *((ex[k] / reduce(Column.__add__, ex)).alias(f"q{k}") for k in CLASSES), "n"), "items")
-    return item, conf
+    if not converged:
+        warnings.warn(f"the consensus model hasn't converged in {rounds} rounds", stacklevel=2)
+    items = written(_posterior(labels, conf, mass), "items")
+    labels.unpersist()
+    return items, conf.select("labeler", *_CELLS)
 
 
 def consensus(items: DataFrame) -> DataFrame:
@@ -80,7 +107,7 @@ def consensus(items: DataFrame) -> DataFrame:
 
 
 def reliability(items: DataFrame, annotators: DataFrame) -> DataFrame:
-    """(labeler, accuracy, low, high): expected share of right answers and its posterior interval of about 95 %."""
+    """(labeler, accuracy, low, high): expected share of right answers and its credible interval of CREDIBLE mass."""
     mass = items.agg(*(F.coalesce(F.sum(f"q{k}"), F.lit(0.0)).alias(f"q{k}") for k in CLASSES)).first()
     total = sum(mass[f"q{k}"] + PRIOR_CLASS for k in CLASSES)
     share = [(mass[f"q{k}"] + PRIOR_CLASS) / total for k in CLASSES]
@@ -88,7 +115,27 @@ def reliability(items: DataFrame, annotators: DataFrame) -> DataFrame:
     p = {k: F.col(f"b_{k}_{k}") / rows[k] for k in CLASSES}
     mean = reduce(Column.__add__, [share[k] * p[k] for k in CLASSES])
     var = reduce(Column.__add__, [share[k] ** 2 * p[k] * (1 - p[k]) / (rows[k] + 1) for k in CLASSES])
-    return annotators.select("labeler", F.round(mean, 6).alias("accuracy"), F.round(F.greatest(F.lit(0.0), mean - 1.96 * F.sqrt(var)), 6).alias("low"), F.round(F.least(F.lit(1.0), mean + 1.96 * F.sqrt(var)), 6).alias("high"))
+    x = annotators.select("labeler", mean.alias("mean"), var.alias("var"))
+
+    @F.pandas_udf("low double, high double")
+    def interval(mean: pd.Series, var: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([beta_interval(m, v) for m, v in zip(mean, var)], columns=["low", "high"])
+
+    x = x.withColumn("i", interval("mean", "var"))
+    return x.select("labeler", F.round("mean", 6).alias("accuracy"), F.round("i.low", 6).alias("low"), F.round("i.high", 6).alias("high"))
+
+
+def beta_interval(mean: float, var: float, mass: float = CREDIBLE, steps: int = 4000) -> tuple[float, float]:
+    """Quantiles that leave equal masses outside of the Beta distribution with a mean and variance, by sums over a grid around the mean."""
+    n = mean * (1 - mean) / max(var, 1e-15) - 1
+    if n <= 0:
+        return 0.0, 1.0
+    a, b, width = mean * n, (1 - mean) * n, 10 * var**0.5
+    lo, hi = max(0.0, mean - width), min(1.0, mean + width)
+    x = lo + (np.arange(steps) + 0.5) * (hi - lo) / steps
+    log = (a - 1) * np.log(x) + (b - 1) * np.log1p(-x)
+    p = np.cumsum(np.exp(log - log.max()))
+    return tuple(float(np.interp(q, p / p[-1], x)) for q in ((1 - mass) / 2, (1 + mass) / 2))
 
 
 def krippendorff(labels: DataFrame) -> DataFrame:

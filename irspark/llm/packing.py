@@ -119,7 +119,7 @@ def pack(counts: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS, shar
     spark = counts.sparkSession
     whole, rest = F.floor(F.col("n_tokens") / capacity), F.col("n_tokens") % capacity
     pieces = counts.select("doc_id", "row", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n_tokens") / capacity) - 1), lambda p: F.struct(p.alias("part"), F.when(p < whole, capacity).otherwise(rest).alias("n_tokens")))).alias("x")).select("doc_id", "row", F.col("x.part").cast("int").alias("part"), F.col("x.n_tokens").cast("int").alias("n_tokens"))
-    n = counts.count()
+    n = counts.agg(F.coalesce(F.sum(F.ceil(F.col("n_tokens") / capacity)), F.lit(0))).first()[0]  # pieces, of which one text may have most
     shards = max(1, -(-n // shard_items))
     items = pieces.withColumn("shard", F.pmod(F.xxhash64("row", "part"), F.lit(shards)).cast("int"))
     # numbers within (size, shard), then offsets of the larger sizes and earlier shards: no sort of all items in one task

@@ -22,16 +22,19 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import bounded_join, work_path, written
+from ..session import bounded_join, discard, work_path, written
 
-#: Bytes of a row group in the layout: what one read or one skip is worth. For large tables 64 MB and more.
-BLOCK_BYTES = 1 << 20
+#: Bytes of a row group in the layout, which is what one read or one skip is worth: grows with the table between these bounds, to about BLOCKS row groups.
+LEAST_BLOCK, MOST_BLOCK, BLOCKS = 1 << 20, 128 << 20, 4096
+
+#: Files that a task keeps open.
+OPEN_FILES = 32
 
 _KEYS = ["_g1", "_g2"]
 
 
-def cluster(df: DataFrame, group: list[str], item: str, score: str, block_bytes: int = BLOCK_BYTES) -> str:
-    """Write the layout to the shared folder and return its path."""
+def cluster(df: DataFrame, group: list[str], item: str, score: str, block_bytes: int | None = None) -> str:
+    """Write the layout to the shared folder and return its path. It serves any number of calls of top_n."""
     cols = [F.col(c).alias(f"g_{i}") for i, c in enumerate(group)] + [F.col(item).alias("_item"), F.col(score).alias("_score")]
     kind = dict(df.dtypes)[score]
     has = F.col(score).isNotNull() & F.col(item).isNotNull()
@@ -40,6 +43,8 @@ def cluster(df: DataFrame, group: list[str], item: str, score: str, block_bytes:
     g = [f"g_{i}" for i in range(len(group))]
     rows = df.where(has).select(*cols).select("*", F.xxhash64(*g).alias("_g1"), F.xxhash64(F.lit(17), *reversed(g)).alias("_g2"))
     order = [F.col("_g1"), F.col("_g2"), F.col("_score").desc(), F.col("_item")]
+    if block_bytes is None:
+        block_bytes = min(MOST_BLOCK, max(LEAST_BLOCK, rows.count() * 48 // BLOCKS))
     path = work_path(df.sparkSession, "clustered")
     rows.repartitionByRange(*order).sortWithinPartitions(*order).write.option("parquet.block.size", block_bytes).parquet(path)
     return path
@@ -69,12 +74,17 @@ def _reader(n: int, columns: list[str]):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The first n distinct items of every group of each row group. Row groups come in descending maximum score."""
         best: dict[tuple[int, int], list[float]] = {}
+        files: dict[str, pq.ParquetFile] = {}  # of which the last few stay open, so that footers aren't read for each row group
         for b in batches:
             for uri, rg, top, single, g1, g2 in zip(*(b.column(c).to_pylist() for c in ("file", "rg", "top", "single", "_g1", "_g2"))):
                 now = best.get((g1, g2)) if single else None
                 if now is not None and len(now) == n and top < now[-1]:
                     continue
-                t = _open(uri).read_row_group(rg, columns)
+                if uri not in files:
+                    if len(files) >= OPEN_FILES:
+                        files.pop(next(iter(files)))
+                    files[uri] = _open(uri)
+                t = files[uri].read_row_group(rg, columns)
                 a, c = (t.column(k).to_numpy() for k in _KEYS)
                 new = np.append(True, (a[1:] != a[:-1]) | (c[1:] != c[:-1])) if len(a) else np.zeros(0, bool)
                 gid = np.cumsum(new)
@@ -107,7 +117,8 @@ def top_n(spark: SparkSession, path: str, group: list[str], item: str, score: st
         spark.createDataFrame([(f,) for f in files], "file string").repartition(tasks).mapInPandas(_footers, "file string, rg int, n long, top double, single boolean, _g1 long, _g2 long"), "footers"
     )
     lead = Window.partitionBy("single", *_KEYS, F.when(F.col("single"), F.lit("")).otherwise(F.concat_ws(":", "file", "rg"))).orderBy(F.desc("top"), F.desc("n"), "file", "rg")
-    blocks = written(blocks.withColumn("turn", F.row_number().over(lead)), "blocks")
+    footers, blocks = blocks, written(blocks.withColumn("turn", F.row_number().over(lead)), "blocks")
+    discard(footers)
     read = lambda b: b.repartition(tasks, "file", "rg").sortWithinPartitions(F.desc("top"), "file", "rg").mapInArrow(_reader(n, table.columns), table.schema)
     first = written(read(blocks.where("turn = 1")), "first")
     # the N-th score so far; a row group strictly below it can't change the result

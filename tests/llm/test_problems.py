@@ -478,3 +478,18 @@ def test_classifiers_on_hosts_left_out(spark):
     got = {r["classifier"]: r for r in pages.validation(spark.read.parquet("/root/testdata/sf0.01/pages.parquet")).collect()}
     assert got["lines"]["cases"] > 500 and got["lines"]["accuracy"] > 0.85
     assert got["fields"]["cases"] > 50 and got["fields"]["accuracy"] > 0.95
+
+
+def test_credible_interval():
+    for a, b in ((1, 1), (3, 2), (40, 5), (4000, 300)):
+        mean, var = a / (a + b), a * b / (a + b) ** 2 / (a + b + 1)
+        low, high = consensus.beta_interval(mean, var)
+        x = random.Random(1)
+        draws = sorted(x.betavariate(a, b) for _ in range(40_000))
+        assert abs(low - draws[1000]) < 0.02 and abs(high - draws[39_000]) < 0.02 and low < mean < high
+
+
+def test_rounds_that_do_not_suffice_are_reported(spark):
+    rows = [(f"i{i}", f"a{j}", (i * 7 + j * j) % 3) for i in range(30) for j in range(4)]
+    with pytest.warns(UserWarning, match="hasn't converged"):
+        consensus.model(consensus.answers(spark.createDataFrame(rows, "item string, labeler string, grade int")), rounds=1)
