@@ -97,35 +97,57 @@ def macro(per_query: DataFrame, keys: list[str], values: list[str]) -> DataFrame
     return per_query.groupBy(*keys).agg(*(F.round(F.avg(v), 9).alias(v) for v in values), F.count("*").alias("n_q"))
 
 
-def intervals(per_query: DataFrame, keys: list[str], values: list[str], rounds: int = 1000, seed: int = 0) -> DataFrame:
-    """(keys, metric, n, mean, low, high): bootstrap intervals of 95 %. A group holds one value a judged query, so it is small."""
-    long = per_query.unpivot(keys, values, "metric", "value").where("value is not null")
-    keys = [*keys, "metric"]
-    kinds = dict(long.dtypes)
+#: Resamplings, and bounds of a uniform number below which a case counts 0, 1, 2, ... times (Poisson with mean 1).
+ROUNDS = 1000
+POISSON = (0.367879, 0.735759, 0.919699, 0.981012, 0.99634, 0.999406, 0.999917)
+_PRIME = 2147483647
+
+
+def drawn(unit: Column, round_: Column, seed: int = 0) -> Column:
+    """A number below _PRIME that looks random and depends on nothing but the case, the round and the seed."""
+    x = (F.pmod(unit, F.lit(_PRIME)) * 7919 + round_ * 104729 + 15485863 * (seed + 1)) % _PRIME
+    for add in (12345, 67891, 424243):
+        x = (x * x + add) % _PRIME
+    return x
+
+
+def times(draw: Column) -> Column:
+    """How often a case counts in a round."""
+    u = draw / float(_PRIME)
+    out = F.lit(len(POISSON))
+    for k in range(len(POISSON) - 1, -1, -1):
+        out = F.when(u < POISSON[k], k).otherwise(out)
+    return out
 
-    def boot(df: pd.DataFrame) -> pd.DataFrame:
-        x = np.sort(df["value"].to_numpy(float))
-        m = np.random.default_rng(seed).choice(x, size=(rounds, len(x)), replace=True).mean(axis=1)
-        return pd.DataFrame([[*df.iloc[0][keys], len(x), x.mean(), *np.percentile(m, [2.5, 97.5])]])
 
-    return long.groupBy(*keys).applyInPandas(boot, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", n long, mean double, low double, high double")
+def _rounds(cases: DataFrame, n: int) -> DataFrame:
+    return cases.withColumn("round", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
 
 
-def paired(per_query: DataFrame, value: str, base: str, rounds: int = 2000, seed: int = 0) -> DataFrame:
+def intervals(per_query: DataFrame, keys: list[str], values: list[str], rounds: int = ROUNDS, seed: int = 0) -> DataFrame:
+    """(keys, metric, n, mean, low, high): bootstrap intervals of 95 %. In each round a query counts as often as a Poisson number says that is drawn by its id, so that
+    rounds are sums, aggregated before the exchange, and no group is gathered. A round without any case says nothing."""
+    long = per_query.unpivot(["qid", *keys], values, "metric", "value").where("value is not null")
+    keys = [*keys, "metric"]
+    x = _rounds(long, rounds).withColumn("w", times(drawn(F.col("qid"), F.col("round"), seed)))
+    m = x.groupBy(*keys, "round").agg((F.sum(F.col("w") * F.col("value")) / F.nullif(F.sum("w"), F.lit(0))).alias("m"))
+    q = m.groupBy(*keys).agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
+    whole = long.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
+    return whole.join(q, keys).select(*keys, "n", F.round("mean", 9).alias("mean"), F.round(F.col("q")[0], 9).alias("low"), F.round(F.col("q")[1], 9).alias("high"))
+
+
+def paired(per_query: DataFrame, value: str, base: str, rounds: int = 2 * ROUNDS, seed: int = 0) -> DataFrame:
     """(branch, n, diff, low, high, p): every branch against base over the queries both have: bootstrap interval of the mean
-    difference and a two-sided sign-flip test."""
+    difference and a two-sided sign-flip test, both by sums over rounds as in intervals()."""
     b = per_query.where(F.col("branch") == base).select("qid", F.col(value).alias("_base"))
     d = per_query.where(F.col("branch") != base).join(b, "qid").select("branch", "qid", (F.col(value) - F.col("_base")).alias("d")).where("d is not null")
-
-    def test(df: pd.DataFrame) -> pd.DataFrame:
-        x = df.sort_values("qid")["d"].to_numpy(float)
-        rng = np.random.default_rng(seed)
-        m = rng.choice(x, size=(rounds, len(x)), replace=True).mean(axis=1)
-        flips = rng.choice([-1, 1], size=(rounds, len(x))) * x
-        p = float((np.abs(flips.mean(axis=1)) >= abs(x.mean()) - 1e-12).mean())
-        return pd.DataFrame([[df["branch"].iloc[0], len(x), x.mean(), *np.percentile(m, [2.5, 97.5]), p]])
-
-    return d.groupBy("branch").applyInPandas(test, "branch string, n long, diff double, low double, high double, p double")
+    whole = d.groupBy("branch").agg(F.count("*").alias("n"), F.avg("d").alias("diff"))
+    draw = drawn(F.col("qid"), F.col("round"), seed)
+    x = _rounds(d, rounds).select("branch", "round", "d", times(draw).alias("w"), F.when(draw % 2 == 0, F.col("d")).otherwise(-F.col("d")).alias("flip"))
+    m = x.groupBy("branch", "round").agg((F.sum(F.col("w") * F.col("d")) / F.nullif(F.sum("w"), F.lit(0))).alias("m"), F.avg("flip").alias("flip"))
+    far = F.abs("flip") >= F.abs("diff") - 1e-9
+    t = m.join(whole.select("branch", "diff"), "branch").groupBy("branch").agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("q"), F.avg(far.cast("double")).alias("p"))
+    return whole.join(t, "branch").select("branch", "n", F.round("diff", 9).alias("diff"), F.round(F.col("q")[0], 9).alias("low"), F.round(F.col("q")[1], 9).alias("high"), F.round("p", 9).alias("p"))
 
 
 def marginal(docs: DataFrame, qrels: DataFrame, order: list[str], k: int, threshold: int = RELEVANT) -> DataFrame:

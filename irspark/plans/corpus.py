@@ -266,6 +266,20 @@ select id, url, host from y where n <= 3 or i in (floor(0.5 * n / 3), floor(1.5
     "event_sessions": """with x as (select user_id, ts, case when ts >= lag(ts) over (partition by user_id order by ts, event_id) + interval '30 minutes' then 1 else 0 end as b, event_id from events where user_id is not null and ts is not null),
 y as (select user_id, ts, sum(b) over (partition by user_id order by ts, event_id) as s from x) select user_id, min(ts) as start, max(ts) + interval '30 minutes' as end, count(*) as n from y group by user_id, s""",
     "chunk_invariants": "select '' as problem, '' as unit_id where false",
+    "host_control": """with recursive o as (select host, coalesce(epoch(try_strptime(left(fetched_at, 19), '%Y-%m-%dT%H:%M:%S')), 0) as ts, coalesce(status, '') as status from pages where host is not null),
+k as (select host, ts, case when status in ('ok', 'empty', 'notice') then 0 when status in ('gone', 'not_html', 'http_400', 'http_404', 'http_410', 'pm_missing', 'err_too_big') then 0 when status like 'blocked%' then 4 else 1 end as strain, row_number() over (partition by host order by ts, status) as i from o),
+f as (select host, 0::bigint as n, 4 as most, 1.0::double as base_delay, 2 as "limit", 1.0::double as delay, 0 as good_run, 0 as bad_run, 0 as strikes, 0.0::double as pause_until, false as dead from (select distinct host from k)
+union all select host, n + 1, most, base_delay,
+  case when dead then "limit" when strain = 0 then case when good_run + 1 = 25 and delay <= base_delay then least(most, "limit" + 1) else "limit" end when bad_run + strain >= 12 then 1 else greatest(1, "limit" // 2) end,
+  case when dead then delay when strain = 0 then case when good_run + 1 = 25 and delay > base_delay then greatest(base_delay, delay / 1.5) else delay end when "limit" = 1 then least(15.0, greatest(1.0, 2 * delay)) else delay end,
+  case when dead then good_run when strain = 0 then (good_run + 1) % 25 else 0 end,
+  case when dead then bad_run when strain = 0 or bad_run + strain >= 12 then 0 else bad_run + strain end,
+  case when dead or strain = 0 or bad_run + strain < 12 then strikes else strikes + 1 end,
+  case when dead or strain = 0 or bad_run + strain < 12 or strikes + 1 > 3 then pause_until else ts + 300.0 * 2 ** strikes end,
+  dead or (strain > 0 and bad_run + strain >= 12 and strikes + 1 > 3)
+from f join k using (host) where k.i = f.n + 1)
+select * from f qualify row_number() over (partition by host order by n desc) = 1""",
+    "block_fingerprints": f"with {_HASH} select block, count(*) as n, bit_xor(cast('0x' || md5(unit_id || ':' || h)[:12] as bigint)) as fingerprint from hs group by block",
     "incremental_pairs": f"with {_HASH}{_OLD} select unit_id, h from hs where (unit_id, h) not in (select (unit_id, h) from old)",
     "still_encoded": f"with {_HASH}{_OLD}, both as (select unit_id, h, min(block) as block from old where (unit_id, h) in (select (unit_id, h) from hs) group by 1, 2) select unit_id, h, block from both".replace("both as", "b_ as").replace("from both", "from b_"),
 }

@@ -154,12 +154,27 @@ st as (select qid, len, disagree, cast(case when n <= 1 then 0 else least(2, flo
 _SPEC = "spec(branch, depth, no) as (values " + ", ".join(f"('{b}', {d}, {i})" for i, (b, d) in enumerate(SPECS)) + ")"
 _POOL = RANKED + f", {_SPEC}, pool as (select qid, unit_id, doc_id, string_agg(branch || '@' || rank, ';' order by no) as src from ranked join spec using (branch) where rank <= depth group by all)\n"
 
+#: Draws of every judged query and round, as operators/metrics.py makes them.
+_DRAWN = """, d0 as (select qid, r, ((qid % 2147483647) * 7919 + r * 104729 + 15485863) % 2147483647 as x from (select distinct qid from sc), range(2000) as t(r)),
+d1 as (select qid, r, (x * x + 12345) % 2147483647 as x from d0), d2 as (select qid, r, (x * x + 67891) % 2147483647 as x from d1), d3 as (select qid, r, (x * x + 424243) % 2147483647 as x from d2),
+w as (select qid, r, x, case when x / 2147483647.0 < 0.367879 then 0 when x / 2147483647.0 < 0.735759 then 1 when x / 2147483647.0 < 0.919699 then 2 when x / 2147483647.0 < 0.981012 then 3
+  when x / 2147483647.0 < 0.99634 then 4 when x / 2147483647.0 < 0.999406 then 5 when x / 2147483647.0 < 0.999917 then 6 else 7 end as w from d3)"""
+
 SQL = {
     "score_docs": _SCORES + "select * from sc",
     "score_docs_macro": _SCORES + "select branch, k, round(avg(p), 9) as p, round(avg(r), 9) as r, round(avg(f2), 9) as f2, round(avg(judged), 9) as judged, count(*) as n_q from sc group by all",
     "score_ndcg": RANKED + _J + """, i as (select qid, sum(grade / log2(i + 1)) as idcg from (select *, row_number() over (partition by qid order by grade desc, unit_id) as i from j) where i <= 10 group by 1),
 g as (select branch, qid, sum(grade / log2(rank + 1)) as dcg from ranked join j using (qid, unit_id) where rank <= 10 group by 1, 2)
 select branch, qid, round(case when idcg > 0 then coalesce(dcg, 0) / idcg end, 6) as ndcg from i cross join (select distinct branch from ranked) left join g using (branch, qid)""",
+    "boot_intervals": _SCORES + _DRAWN.replace("range(2000)", "range(1000)") + """, long as (select qid, branch, metric, value from (select qid, branch, p, r, f2 from sc where k = 20) unpivot (value for metric in (p, r, f2))),
+mm as (select branch, metric, r, sum(w * value) / nullif(sum(w), 0) as m from long join w using (qid) group by all)
+select branch, metric, max(n) as n, round(max(mean), 9) as mean, round(quantile_cont(m, 0.025), 9) as low, round(quantile_cont(m, 0.975), 9) as high
+from mm join (select branch, metric, count(*) as n, avg(value) as mean from long group by all) using (branch, metric) group by branch, metric""",
+    "paired_tests": _SCORES + _DRAWN + """, d as (select a.branch, qid, a.f2 - b.f2 as d from sc a join sc b using (qid) where a.k = 20 and b.k = 20 and b.branch = 'rrf9' and a.branch <> 'rrf9' and a.f2 - b.f2 is not null),
+whole as (select branch, count(*) as n, avg(d) as diff from d group by 1),
+mm as (select branch, r, sum(w * d) / nullif(sum(w), 0) as m, avg(case when x % 2 = 0 then d else -d end) as flip from d join w using (qid) group by all)
+select branch, max(n) as n, round(max(diff), 9) as diff, round(quantile_cont(m, 0.025), 9) as low, round(quantile_cont(m, 0.975), 9) as high, round(avg(case when abs(flip) >= abs(diff) - 1e-9 then 1.0 else 0.0 end), 9) as p
+from mm join whole using (branch) group by branch""",
     "marginal_steps": _DOCS + _J + f""", f as (select qid, doc_id, min(list_position([{_B}], branch) - 1) as step from docs where branch in ({_B}) and rank <= {TOP} and qid in (select qid from jd) group by 1, 2),
 x as (select step, count(*) as new, count(grade) as judged, count(*) filter (grade >= 1) as relevant from f left join jd using (qid, doc_id) group by 1),
 s as (select unnest(range(9)) as step, unnest([{_B}]) as branch)

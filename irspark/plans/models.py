@@ -69,6 +69,19 @@ QUERIES = {f.__name__: f for f in (encoded_units, dense_branch, rerank_overlap,
 
 SQL = {
     "encoded_units": "select unit_id, md5('' || chr(31) || min(text))[:12] as h, 64 as dim, case when len(regexp_extract_all(min(text), '[\\p{L}\\p{N}]')) > 0 then 1.0 else 0.0 end as norm from qrels where text is not null and unit_id is not null group by 1",
+    "rerank_overlap": RANKED + """, run as (select qid, unit_id, doc_id, rank from ranked where branch = 'rrf9'),
+un as (select unit_id, min(lang) as lang, min(text) as text from qrels where text is not null and unit_id is not null group by 1),
+qt as (select id as qid, trim(lang) as lang, min(trim(query)) as query from queries where id is not null and query is not null and lang is not null and trim(query) <> '' group by 1, 2),
+x as (select run.*, coalesce(own.query, other.query, '') as q, un.text as t from run join un using (unit_id) left join qt own on own.qid = run.qid and own.lang = un.lang left join qt other on other.qid = run.qid and other.lang = 'vi' where rank <= 50),
+w as (select *, list_distinct(regexp_extract_all(regexp_replace(lower(q), '([㐀-䶿一-鿿豈-﫿])', ' \\1 ', 'g'), '[\\p{L}\\p{N}]+')) as qw, list_distinct(regexp_extract_all(regexp_replace(lower(t), '([㐀-䶿一-鿿豈-﫿])', ' \\1 ', 'g'), '[\\p{L}\\p{N}]+')) as tw from x),
+top as (select qid, unit_id, doc_id, rank as old, round(len(list_intersect(qw, tw)) / greatest(1, len(qw)), 6) as score from w),
+a as (select qid, unit_id, doc_id, score, row_number() over (partition by qid order by score desc, old, unit_id) as rank from top),
+parts as (select qid, unit_id, doc_id, 0 as part, -score as key, rank as old from a union all select qid, unit_id, doc_id, 1, rank::double, rank from run where rank > 50)
+select qid, unit_id, doc_id, part, row_number() over (partition by qid order by part, key, old, unit_id) as rank from parts""",
+    "reextract": r"""with plain as (select id, host, title, regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '(?m)^---$\n?', '', 'g'), '(?m)^(#{1,6} |- )', '', 'g'), '^\s+|\s+$', '', 'g') as t from corpus),
+lines as (select id, host, list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(regexp_replace(x, '[\s\x{00A0}]+', ' ', 'g'), ' |')), lambda x: x <> '') as l from plain),
+x as (select id, host, array_to_string(l, chr(10)) as t from lines)
+select id, host, 'ok' as status, 'rule' as extractor, 99 as xv, md5(regexp_replace(lower(t), '\s+', '', 'g'))[:16] as text_hash, length(t) as n_chars from x""",
     "fetch_replay": "select id, lower(regexp_extract(min(url), '^[a-z]+://([^/?#]+)', 1)) as host, 'http_404' as status, 1 as attempts from pages where id is not null group by 1",
     "fixed_sample": "select id, host from (select id, host, row_number() over (order by md5('13:' || id), id) as r from corpus) where r <= 50",
 }

@@ -231,6 +231,13 @@ select url, case when h = 'example' or h like '%.example' then 'knowledge' when
     "unit_inputs": "select distinct qid, unit_id, md5(case when coalesce(lang, '') = '' then text else lang || chr(10) || text end) as input from qrels where text is not null",
     "blind_codes": "select qid, unit_id, md5('13:' || qid || ':' || unit_id)[:8] as code from judge_key",
     "unit_algebra": "select distinct unit_id || '_c2' as unit_id, regexp_replace(unit_id || '_c2', '_c\\d+$', '') as parent, split_part(unit_id, '_', 1) as doc from qrels",
+    "contexts": r"""with h as (select id, coalesce(title, '') as t, list_filter(list_transform(regexp_extract_all(text, '(?m)^#{1,6} (.*)$', 1)[:3], lambda x: trim(x, ' ')), lambda x: x <> '') as hs from corpus)
+select id, regexp_replace(left(array_to_string(list_concat(list_filter([t], lambda x: x <> ''), list_filter(hs, lambda x: x <> t and length(x) <= 100)), ' > '), 220), '\s+$', '') as ctx from h""",
+    "tidy_paths": r"""with p as (select id, title, list_filter(list_transform(string_split(concat_ws(' > ', 'Trang chủ', section, title), ' > '), lambda x: regexp_replace(regexp_replace(x, '^[ >›»/|]+', ''), '[ >›»/|]+$', '')),
+  lambda x: x <> '' and lower(x) not in ('trang chủ', 'trang chu', 'home', '首页', '主页', '网站首页', 'trang chính')) as p from corpus),
+u as (select id, title, list_filter(p, lambda x, i: list_position(p, x) = i) as p from p),
+c as (select id, case when len(p) > 0 and p[-1] = title then p[:len(p) - 1] else p end as p from u)
+select id, array_to_string(p[:6], ' > ') as path from c""",
     "norm_dates": "select o_orderkey, form, case when form < 6 or epoch(date_trunc('day', o_orderdate)) >= 1000000000 then strftime(o_orderdate, '%Y-%m-%d') end as iso from orders, range(7) as r(form)",
     "translation_checks": _CHECKS + "select qid, en_script, zh_script, en_numbers, zh_numbers, round(en_ratio, 6) as en_ratio, round(zh_ratio, 6) as zh_ratio, en_ratio < 0.5 as en_short, zh_ratio < 0.15 as zh_short from c",
     "translation_summary": _CHECKS + "select count(*) as n, count(*) filter (en_script) as en_script, count(*) filter (zh_script) as zh_script, count(*) filter (en_numbers) as en_numbers, count(*) filter (zh_numbers) as zh_numbers, round(median(en_ratio), 6) as en_ratio, round(median(zh_ratio), 6) as zh_ratio, count(*) filter (en_ratio < 0.5) as en_short, count(*) filter (zh_ratio < 0.15) as zh_short from c",

@@ -124,8 +124,14 @@ def test_intervals_and_pairs(spark):
     df = spark.createDataFrame(p)
     got = metrics.intervals(df, ["branch"], ["f2"]).toPandas().set_index("branch")
     x = np.sort(p[p.branch == "a"].f2.to_numpy())
-    m = np.random.default_rng(0).choice(x, size=(1000, 30), replace=True).mean(axis=1)
-    assert math.isclose(got.loc["a", "low"], np.percentile(m, 2.5)) and got.loc["a", "low"] < got.loc["a", "mean"] < got.loc["a", "high"]
+    m = np.random.default_rng(0).choice(x, size=(20_000, 30), replace=True).mean(axis=1)  # another resampling of the same queries
+    assert abs(got.loc["a", "low"] - np.percentile(m, 2.5)) < 0.02 and abs(got.loc["a", "high"] - np.percentile(m, 97.5)) < 0.02
+    assert got.loc["a", "low"] < got.loc["a", "mean"] < got.loc["a", "high"]
+    d = spark.range(3).select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(19_999).cast("long"))).alias("r"), "id").select(metrics.times(metrics.drawn(F.col("id"), F.col("r"))).alias("w"), "id", "r")
+    stats = d.groupBy("id").agg(F.avg("w").alias("m"), F.var_samp("w").alias("v")).collect()
+    assert all(abs(s["m"] - 1) < 0.05 and abs(s["v"] - 1) < 0.1 for s in stats)
+    pairs = d.groupBy("r").pivot("id", [0, 1, 2]).agg(F.first("w"))
+    assert all(abs(pairs.select(F.corr(a, b)).first()[0]) < 0.03 for a, b in (("0", "1"), ("1", "2"), ("0", "2")))
     t = metrics.paired(df, "f2", "b").toPandas()
     assert list(t.branch) == ["a"] and 0 <= t.p[0] <= 1 and t.low[0] <= t["diff"][0] <= t.high[0]
 
