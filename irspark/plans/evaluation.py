@@ -154,6 +154,19 @@ st as (select qid, len, disagree, cast(case when n <= 1 then 0 else least(2, flo
 _SPEC = "spec(branch, depth, no) as (values " + ", ".join(f"('{b}', {d}, {i})" for i, (b, d) in enumerate(SPECS)) + ")"
 _POOL = RANKED + f", {_SPEC}, pool as (select qid, unit_id, doc_id, string_agg(branch || '@' || rank, ';' order by no) as src from ranked join spec using (branch) where rank <= depth group by all)\n"
 
+_WORDS = "regexp_extract_all(regexp_replace(lower(nfc_normalize({})), '([㐀-䶿一-鿿豈-﫿])', ' \\1 ', 'g'), '[\\p{{L}}\\p{{N}}]+')"
+#: Hits of units by the table of longest common subsequences, row after row.
+_HITS = (
+    RANKED
+    + ", gold as (select qid, unit_id as gold, doc_id, max(text) as gt from qrels where grade >= 1 and text is not null group by 1, 2, 3), run as (select branch, qid, unit_id, doc_id, rank from ranked where rank <= 20),"
+    + "tx as (select unit_id, min(text) as t from qrels where text is not null group by 1),"
+    + f"words as (select distinct unit_id, gold, {_WORDS.format('gt')} as g, {_WORDS.format('t')} as t from run join gold using (qid, doc_id) join tx using (unit_id) where unit_id <> gold),"
+    + """lcs as (with recursive r as (select unit_id, gold, g, t, 0::bigint as i, list_transform(range(len(g) + 1), lambda x: 0::bigint) as row from words
+union all select unit_id, gold, g, t, i + 1, list_transform(range(1, len(g) + 2), lambda j: list_max(list_transform(range(1, j + 1), lambda k: case when k > 1 and g[k - 1] = t[i + 1] then greatest(row[k], row[k - 1] + 1) else row[k] end))) from r where i < len(t))
+select unit_id, gold from r where i = len(t) and row[len(g) + 1] / greatest(1, len(g)) >= 0.4),
+hits as (select branch, qid, unit_id, rank, gold from run join gold using (qid, doc_id) where unit_id = gold or (unit_id, gold) in (select (unit_id, gold) from lcs))
+"""
+)
 #: Draws of every judged query and round, as operators/metrics.py makes them.
 _DRAWN = """, d0 as (select qid, r, ((qid % 2147483647) * 7919 + r * 104729 + 15485863) % 2147483647 as x from (select distinct qid from sc), range(2000) as t(r)),
 d1 as (select qid, r, (x * x + 12345) % 2147483647 as x from d0), d2 as (select qid, r, (x * x + 67891) % 2147483647 as x from d1), d3 as (select qid, r, (x * x + 424243) % 2147483647 as x from d2),
@@ -166,6 +179,12 @@ SQL = {
     "score_ndcg": RANKED + _J + """, i as (select qid, sum(grade / log2(i + 1)) as idcg from (select *, row_number() over (partition by qid order by grade desc, unit_id) as i from j) where i <= 10 group by 1),
 g as (select branch, qid, sum(grade / log2(rank + 1)) as dcg from ranked join j using (qid, unit_id) where rank <= 10 group by 1, 2)
 select branch, qid, round(case when idcg > 0 then coalesce(dcg, 0) / idcg end, 6) as ndcg from i cross join (select distinct branch from ranked) left join g using (branch, qid)""",
+    "unit_hits_lcs": _HITS + "select * from hits",
+    "score_units": _HITS + _J + """, n as (select qid, count(*) filter (grade >= 1) as n_rel from j group by 1), ks as (select unnest([5, 20]) as k),
+c as (select branch, qid, k, count(*) as n from run cross join ks where rank <= k group by all), h as (select branch, qid, k, count(distinct unit_id) as ok, count(distinct gold) as found from hits cross join ks where rank <= k group by all),
+x as (select branch, qid, k, n_rel, coalesce(n, 0) as n, coalesce(ok, 0) as ok, coalesce(found, 0) as found from n cross join (select distinct branch from run) cross join ks left join c using (branch, qid, k) left join h using (branch, qid, k)),
+pr as (select *, case when n > 0 then ok / n else 0.0 end as p, case when n_rel > 0 then found / n_rel end as r from x)
+select branch, qid, cast(k as bigint) as k, round(p, 6) as p, round(r, 6) as r, round(case when n_rel > 0 then case when 4 * p + r > 0 then 5 * p * r / (4 * p + r) else 0.0 end end, 6) as f2 from pr""",
     "boot_intervals": _SCORES + _DRAWN.replace("range(2000)", "range(1000)") + """, long as (select qid, branch, metric, value from (select qid, branch, p, r, f2 from sc where k = 20) unpivot (value for metric in (p, r, f2))),
 mm as (select branch, metric, r, sum(w * value) / nullif(sum(w), 0) as m from long join w using (qid) group by all)
 select branch, metric, max(n) as n, round(max(mean), 9) as mean, round(quantile_cont(m, 0.025), 9) as low, round(quantile_cont(m, 0.975), 9) as high

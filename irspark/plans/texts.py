@@ -238,6 +238,17 @@ select id, regexp_replace(left(array_to_string(list_concat(list_filter([t], lamb
 u as (select id, title, list_filter(p, lambda x, i: list_position(p, x) = i) as p from p),
 c as (select id, case when len(p) > 0 and p[-1] = title then p[:len(p) - 1] else p end as p from u)
 select id, array_to_string(p[:6], ' > ') as path from c""",
+    "kernel_lines": r"""with t as (select doc_id, regexp_replace(regexp_replace(nfc_normalize(replace(coalesce(text, ''), chr(160), ' ')), '[\x{200B}\x{200C}\x{200D}\x{2060}\x{FEFF}\x{00AD}]', '', 'g'), '\r\n?', chr(10), 'g') as t from documents),
+l as (select doc_id, list_transform(string_split(t, chr(10)), lambda x: trim(regexp_replace(x, '[\s\p{Z}]+', ' ', 'g'), ' ')) as l from t),
+b as (select doc_id, list_transform(l, lambda x: regexp_extract(x, '^(#{1,6} |- )?', 1) || trim(regexp_replace(x, '^(#{1,6} |- )', ''), '| ')) as l from l)
+select doc_id, array_to_string(list_filter(l, lambda x: regexp_replace(x, '^(#{1,6} |- )', '') <> ''), chr(10)) as lines from b""",
+    "date_values": r"""with r as (select distinct raw, replace(raw, chr(160), ' ') as t from (select published as raw from pages union all select modified from pages) where raw is not null and raw <> ''),
+c as (select raw, [regexp_extract(t, '(?:^|\D)(\d{4})\s*[-/.年]\s*(\d{1,2})\s*[-/.月]\s*(\d{1,2})(?:\D|$)', ['y', 'm', 'd']), regexp_extract(t, '(?i)ngày\s+(\d{1,2})\s+tháng\s+(\d{1,2})\s*,?\s*năm\s+(\d{4})', ['d', 'm', 'y']),
+  regexp_extract(t, '(?:^|\D)(\d{1,2})\s*[-/.]\s*(\d{1,2})\s*[-/.]\s*(\d{4})(?:\D|$)', ['d', 'm', 'y']), regexp_extract(t, '(?i)(?:^|[^a-z])(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?\s+(\d{1,2})(?:st|nd|rd|th)?\s*,?\s+(\d{4})(?:\D|$)', ['m', 'd', 'y']),
+  regexp_extract(t, '(?i)(?:^|\D)(\d{1,2})(?:st|nd|rd|th)?\s+(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?\s*,?\s+(\d{4})(?:\D|$)', ['d', 'm', 'y'])] as c, regexp_extract(trim(t), '^(\d{10})(?:\d{3})?$', 1) as stamp from r),
+d as (select raw, case when stamp <> '' then [cast(to_timestamp(cast(stamp as bigint)) as date)] else list_transform(c, lambda x: try_cast(x.y || '-' || case when regexp_matches(x.m, '^\d') then lpad(x.m, 2, '0')
+  else lpad(cast(list_position(['jan', 'feb', 'mar', 'apr', 'may', 'jun', 'jul', 'aug', 'sep', 'oct', 'nov', 'dec'], lower(x.m)) as varchar), 2, '0') end || '-' || lpad(x.d, 2, '0') as date)) end as d from c)
+select raw, strftime(list_filter(d, lambda x: x >= date '1900-01-01' and x <= date '2027-01-02')[1], '%Y-%m-%d') as iso from d""",
     "norm_dates": "select o_orderkey, form, case when form < 6 or epoch(date_trunc('day', o_orderdate)) >= 1000000000 then strftime(o_orderdate, '%Y-%m-%d') end as iso from orders, range(7) as r(form)",
     "translation_checks": _CHECKS + "select qid, en_script, zh_script, en_numbers, zh_numbers, round(en_ratio, 6) as en_ratio, round(zh_ratio, 6) as zh_ratio, en_ratio < 0.5 as en_short, zh_ratio < 0.15 as zh_short from c",
     "translation_summary": _CHECKS + "select count(*) as n, count(*) filter (en_script) as en_script, count(*) filter (zh_script) as zh_script, count(*) filter (en_numbers) as en_numbers, count(*) filter (zh_numbers) as zh_numbers, round(median(en_ratio), 6) as en_ratio, round(median(zh_ratio), 6) as zh_ratio, count(*) filter (en_ratio < 0.5) as en_short, count(*) filter (zh_ratio < 0.15) as zh_short from c",
