@@ -142,6 +142,18 @@ def chunk_invariants(spark, sf):
     return chunking.invariant_violations(written(chunking.units(_docs(spark, sf)), "units"), _docs(spark, sf))
 
 
+def chunk_coverage(spark, sf):
+    """Per document: what its parents hold without white space, whether sizes keep to the limits, and whether children hold what their parents do."""
+    u = written(chunking.units(_docs(spark, sf)), "units")
+    joined = lambda x, key: x.groupBy(key).agg(F.regexp_replace(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("char_start", "text"))), lambda c: c["text"]), ""), r"(?U)\s+", "").alias("t"))
+    p = chunking.parents(u)
+    kids = joined(chunking.children(u), "parent_id").select(F.col("parent_id").alias("unit_id"), F.col("t").alias("kids"))
+    same = p.join(kids, "unit_id", "left").groupBy("doc_id").agg(
+        F.every(F.coalesce(F.col("kids") == F.regexp_replace("text", r"(?U)\s+", ""), F.col("n_tokens") <= 160)).alias("children_cover"), F.every((F.col("n_tokens") <= 400) & (F.length("ctx") <= 220)).alias("within_limits")
+    )
+    return joined(p, "doc_id").join(same, "doc_id").select("doc_id", F.md5("t").alias("content"), "children_cover", "within_limits")
+
+
 def chunk_report(spark, sf):
     u = chunking.parents(chunking.units(_docs(spark, sf)))
     return report.size_percentiles(u, "n_tokens", "lang", "doc_type", least=5)
@@ -178,7 +190,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         links, todo_state, winners, boilerplate, dup_groups, site_suffixes, clean_titles, default_authors, common_keywords, corpus_merge, host_table, host_totals, crawl_counts, corpus_counts, lang_summary,
-        size_percentiles, probe_spread, host_control, fetch_windows, event_sessions, chunk_parents, chunk_children, chunk_invariants, chunk_report, incremental_pairs, still_encoded, block_fingerprints, date_values,
+        size_percentiles, probe_spread, host_control, fetch_windows, event_sessions, chunk_parents, chunk_children, chunk_invariants, chunk_coverage, chunk_report, incremental_pairs, still_encoded, block_fingerprints, date_values,
     )
 }
 
@@ -279,6 +291,8 @@ union all select host, n + 1, most, base_delay,
   dead or (strain > 0 and bad_run + strain >= 12 and strikes + 1 > 3)
 from f join k using (host) where k.i = f.n + 1)
 select * from f qualify row_number() over (partition by host order by n desc) = 1""",
+    "chunk_coverage": r"""with plain as (select id, regexp_replace(regexp_replace(regexp_replace(text, '(?m)^---$\n?', '', 'g'), '(?m)^(#{1,6} |- )', '', 'g'), '[\s\p{Z}]+', '', 'g') as t from corpus where id is not null and text is not null)
+select id as doc_id, md5(t) as content, true as children_cover, true as within_limits from plain where t <> ''""",
     "block_fingerprints": f"with {_HASH} select block, count(*) as n, bit_xor(cast('0x' || md5(unit_id || ':' || h)[:12] as bigint)) as fingerprint from hs group by block",
     "incremental_pairs": f"with {_HASH}{_OLD} select unit_id, h from hs where (unit_id, h) not in (select (unit_id, h) from old)",
     "still_encoded": f"with {_HASH}{_OLD}, both as (select unit_id, h, min(block) as block from old where (unit_id, h) in (select (unit_id, h) from hs) group by 1, 2) select unit_id, h, block from both".replace("both as", "b_ as").replace("from both", "from b_"),

@@ -194,6 +194,11 @@ select qid, unit_id, doc_id, part, row_number() over (partition by qid order by
     "interleave_union": RANKED + """, numbered as (select qid, unit_id, doc_id, rank, list_position(['vi_bm25', 'en_bm25', 'zh_bm25'], branch) as no from ranked where branch in ('vi_bm25', 'en_bm25', 'zh_bm25')),
 f as (select qid, unit_id, doc_id, min({'r': rank, 'n': no}) as w_ from numbered group by 1, 2, 3)
 select * from (select qid, unit_id, doc_id, row_number() over (partition by qid order by w_, unit_id) as rank from f) where rank <= 50""",
+    "greedy_order": _DOCS + f""", b as (select [{_B}] as names), ms as (select list({{'m': m, 'n': n}}) as ms from (select m, count(*) as n from (select qid, doc_id, bit_or(1 << (list_position(names, branch) - 1)) as m from docs, b where branch in ({_B}) and rank <= {TOP} group by 1, 2) group by 1)),
+g as (with recursive g as (select 0::bigint as step, 0::bigint as have, -1::bigint as i, [-1::bigint] as done union all select step + 1, have | (1 << i2), i2, list_append(done, i2) from (
+  select step, have, done, 99 - (list_max(list_transform(list_filter(range(9), lambda k: not list_contains(done, k)), lambda k: 100 * coalesce(list_sum(list_transform(list_filter(ms, lambda x: (x.m >> k) & 1 = 1 and (x.m & have) = 0), lambda x: x.n)), 0) + 99 - k)) % 100)::bigint as i2 from g, ms where step < 9))
+  select * from g)
+select step, names[i + 1] as branch from g, b where step > 0""",
     "rrf_configs": RANKED + _rrf(CONFIGS, 100) + "select config, qid, unit_id, doc_id, rank, score from fused",
     "rrf_levels": RANKED + """, c as (select branch, qid, unit_id, doc_id, row_number() over (partition by branch, qid order by rank, unit_id) as rank from ranked where branch = 'vi_dense' and rank <= 300),
 both_ as (select branch, qid, unit_id, doc_id, rank from ranked where branch = 'vi_dense' and rank <= 100 union all select * from c where rank <= 100),
