@@ -85,6 +85,11 @@ def number_after(url: Column, host: str) -> Column:
     return F.when(url.rlike(rf"{host}/(\d+)"), F.regexp_extract(url, rf"{host}/(\d+)", 1))
 
 
+def route(url: Column) -> Column:
+    """bibliography for records that are fetched in batches by number, else web."""
+    return F.when(F.coalesce(host_of(url), F.lit("")) == "pubmed.ncbi.nlm.nih.gov", "bibliography").otherwise("web")
+
+
 def in_shard(id: Column, i: int, n: int) -> Column:
     if not 0 <= i < n:
         raise ValueError(f"shard {i} of {n}")

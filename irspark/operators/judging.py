@@ -117,5 +117,5 @@ def per_query(qrels_: DataFrame) -> DataFrame:
 
 
 def by_labeler(labels: DataFrame, labelers: list[str]) -> DataFrame:
-    """item x labeler: first grade."""
-    return labels.groupBy("item").pivot("labeler", labelers).agg(F.first("grade"))
+    """item x labeler: the lowest grade."""
+    return labels.groupBy("item").pivot("labeler", labelers).agg(F.min("grade"))
