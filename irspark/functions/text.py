@@ -140,12 +140,14 @@ def context(title: Column, path: Column, section: Column | None = None, most: in
     return F.regexp_replace(F.left(F.array_join(parts, " > "), F.lit(most)), r"(?U)\s+$", "")
 
 
-def detect_lang(text: Column, host: Column, hint: Column, hosts_vi: tuple[str, ...] = (), sample: int = 4000) -> Column:
-    """zh, vi, en or empty, by counts of letters among the first sample characters; then by host, then by hint."""
-    s = F.left(F.coalesce(text, F.lit("")), F.lit(sample))
+def detect_lang(text: Column, host: Column, hint: Column, hosts_vi: tuple[str, ...] = (), sample: int | None = 4000) -> Column:
+    """zh, vi, en or empty, by counts of letters among the first sample characters, of which the label is defined, or of the whole text (None); then
+    by host, then by hint."""
+    s = F.coalesce(text, F.lit("")) if sample is None else F.left(F.coalesce(text, F.lit("")), F.lit(sample))
     # what is left without the others is as long as their number; no list of matches is built
     han, vi, latin = (F.length(F.regexp_replace(s, f"[^{p}]+", "")) for p in ("一-鿿", VI_LETTERS, "A-Za-z"))
     h, two = F.coalesce(host, F.lit("")), F.left(F.coalesce(hint, F.lit("")), F.lit(2))
+    # fixed values: the least counts and shares of letters for each language
     return (
         F.when((han >= 10) & (han > 2 * vi), "zh").when((vi >= 5) & (vi >= 0.02 * latin), "vi").when((latin >= 100) & (vi < 0.005 * latin) & (han < 10), "en")
         .when(h.endswith(".vn") | h.isin(*hosts_vi), "vi").when((han > 0) | h.endswith(".cn"), "zh").when(two.isin("vi", "zh", "en"), two).otherwise("")

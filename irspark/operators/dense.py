@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 
 from ..session import written
 
-#: Up to this many vectors the exact search is the plan.
-FLAT_LIMIT = 200_000
 #: Queries scored at once against a batch of vectors.
 QUERY_BLOCK = 4096
 

@@ -53,8 +53,12 @@ def sheets(items: DataFrame, labelers: list[str], overlap: float, salt: str = "1
     """(labeler, item, qid, unit_id): queries go round the labelers; the first share of overlap also to the next one, or to all if 1 or more."""
     n = len(labelers)
     q = items.select("qid").distinct()
-    w = Window.orderBy(F.md5(F.concat_ws(":", F.lit(salt), F.col("qid").cast("string"))))
-    q = q.withColumn("i", F.row_number().over(w) - 1).crossJoin(F.broadcast(q.agg(F.count("*").alias("n"))))
+    q = q.withColumn("h", F.md5(F.concat_ws(":", F.lit(salt), F.col("qid").cast("string")))).withColumn("part", F.left("h", F.lit(2)))
+    # places in the order of h, within each of 256 parts of it and then from the sizes of the parts before
+    before = F.sum("c").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = q.groupBy("part").agg(F.count("*").alias("c")).select("part", F.coalesce(before, F.lit(0)).alias("before"))
+    q = q.withColumn("r", F.row_number().over(Window.partitionBy("part").orderBy("h"))).join(F.broadcast(sizes), "part")
+    q = q.select("qid", (F.col("before") + F.col("r") - 1).alias("i")).crossJoin(F.broadcast(q.agg(F.count("*").alias("n"))))
     dup = F.col("i") < F.round(F.lit(min(overlap, 1.0)) * F.col("n"))
     first = F.col("i") % n
     who = F.when(dup, F.sequence(F.lit(0), F.lit(n - 1)) if overlap >= 1 else F.array_distinct(F.array(first, (first + 1) % n))).otherwise(F.array(first))
