@@ -13,6 +13,7 @@ annotator gave an item several grades, the lowest counts; equal probabilities go
 
 from __future__ import annotations
 
+import math
 import warnings
 from functools import reduce
 
@@ -22,11 +23,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
-from ..session import bounded_join, discard, written
+from ..session import BROADCAST_ROWS, discard, small_enough, written
 
 CLASSES = (0, 1, 2)
 #: Rounds at most, and the change of the annotators' counts, as a share of all labels, at which they end.
-ROUNDS, TOLERANCE = 60, 1e-5
+ROUNDS, TOLERANCE = 60, 5e-5
 #: Mass of a credible interval.
 CREDIBLE = 0.95
 #: Pseudo-counts of the priors: for a class, for a right and for each wrong answer.
@@ -47,19 +48,26 @@ def answers(labels: DataFrame, item: str = "item", labeler: str = "labeler", gra
     return labels.where(ok).groupBy(F.col(item).alias("item"), F.col(labeler).alias("labeler")).agg(F.min(grade).cast("int").alias("grade"))
 
 
-_Q = [f"q{k}" for k in CLASSES]
+def _digamma(x: float) -> float:
+    """The same of a number."""
+    i = 1 / (x + 6) ** 2
+    return math.log(x + 6) - 0.5 / (x + 6) - i * (1 / 12 - i * (1 / 120 - i * (1 / 252 - i / 240))) - sum(1 / (x + k) for k in range(6))
+
+
 _CELLS = [f"b_{k}_{l}" for k in CLASSES for l in CLASSES]
 
 
-def _posterior(labels: DataFrame, conf: DataFrame, mass: list[float]) -> DataFrame:
-    """(item, q.., n) by the annotators' counts and the classes' mass."""
+def _posterior(labels: DataFrame, conf: DataFrame, mass: list[float], few: bool) -> DataFrame:
+    """(item, q.., n) by the annotators' counts and the classes' mass; few: the annotators' table may be broadcast."""
     rows = {k: reduce(Column.__add__, [F.col(f"b_{k}_{l}") for l in CLASSES]) for k in CLASSES}
-    # one row for each annotator and answer: the expected log-probability of that answer under each true class
-    answer = lambda l: F.struct(F.lit(l).alias("grade"), *((digamma(F.col(f"b_{k}_{l}")) - digamma(rows[k])).alias(f"e{k}") for k in CLASSES))
-    logs = conf.select("labeler", F.explode(F.array(*map(answer, CLASSES))).alias("x")).select("labeler", "x.*")
-    scored = bounded_join(labels, logs, ["labeler", "grade"]).groupBy("item").agg(*(F.sum(f"e{k}").alias(f"e{k}") for k in CLASSES), F.count("*").alias("n"))
+    # digammas of all cells and rows by one small expression each; then one row for each annotator and answer: the expected log-probability of that answer under each true class
+    n = len(CLASSES)
+    x = conf.select("labeler", F.transform(F.array(*_CELLS), digamma).alias("c"), F.transform(F.array(*(rows[k] for k in CLASSES)), digamma).alias("r"))
+    answer = lambda l: F.struct(F.lit(CLASSES[l]).alias("grade"), *((F.col("c")[k * n + l] - F.col("r")[k]).alias(f"e{CLASSES[k]}") for k in range(n)))
+    logs = x.select("labeler", F.explode(F.array(*map(answer, range(n)))).alias("x")).select("labeler", "x.*")
+    scored = labels.join(F.broadcast(logs) if few else logs.hint("merge"), ["labeler", "grade"]).groupBy("item").agg(*(F.sum(f"e{k}").alias(f"e{k}") for k in CLASSES), F.count("*").alias("n"))
     total = [PRIOR_CLASS + m for m in mass]
-    scored = scored.select("item", "n", *((F.col(f"e{k}") + digamma(F.lit(float(total[k]))) - digamma(F.lit(float(sum(total))))).alias(f"e{k}") for k in CLASSES))
+    scored = scored.select("item", "n", *((F.col(f"e{k}") + (_digamma(total[k]) - _digamma(sum(total)))).alias(f"e{k}") for k in CLASSES))
     top = F.greatest(*(F.col(f"e{k}") for k in CLASSES))
     ex = [F.exp(F.col(f"e{k}") - top) for k in CLASSES]
     return scored.select("item", *((ex[k] / reduce(Column.__add__, ex)).alias(f"q{k}") for k in CLASSES), "n")
@@ -81,12 +89,13 @@ def model(labels: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame
     labels = written(labels, "answers").repartition("item").persist(StorageLevel.MEMORY_AND_DISK)  # what is lost with an executor is read again
     start = labels.groupBy("item").agg(*((F.sum((F.col("grade") == k).cast("double")) / F.count("*")).alias(f"q{k}") for k in CLASSES), F.count("*").alias("n"))
     conf = written(_counts(labels, start), "confusion")
-    mass_of = lambda c: [c.agg(F.coalesce(F.sum(f"m{k}"), F.lit(0.0))).first()[0] for k in CLASSES]
+    mass_of = lambda c: list(c.agg(*(F.coalesce(F.sum(f"m{k}"), F.lit(0.0)) for k in CLASSES)).first())
+    few = small_enough(conf, BROADCAST_ROWS // 8)  # the table has as many rows in every round, and the answers' three times as many
     mass, converged = mass_of(conf), False
     for _ in range(rounds):
-        now = written(_counts(labels, _posterior(labels, conf, mass)), "confusion")
+        now = written(_counts(labels, _posterior(labels, conf, mass, few)), "confusion")
         old = conf.select("labeler", *(F.col(c).alias(f"old_{c}") for c in _CELLS))
-        moved, size, *mass = bounded_join(now, old, ["labeler"]).agg(
+        moved, size, *mass = now.join(F.broadcast(old) if few else old, "labeler").agg(
             F.coalesce(F.sum(reduce(Column.__add__, [F.abs(F.col(c) - F.col(f"old_{c}")) for c in _CELLS])), F.lit(0.0)), F.coalesce(F.sum(reduce(Column.__add__, map(F.col, _CELLS))), F.lit(1.0)), *(F.coalesce(F.sum(f"m{k}"), F.lit(0.0)) for k in CLASSES)
         ).first()
         discard(conf)
@@ -95,7 +104,7 @@ def model(labels: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame
             break
     if not converged:
         warnings.warn(f"the consensus model hasn't converged in {rounds} rounds", stacklevel=2)
-    items = written(_posterior(labels, conf, mass), "items")
+    items = written(_posterior(labels, conf, mass, few), "items")
     labels.unpersist()
     return items, conf.select("labeler", *_CELLS)
 
