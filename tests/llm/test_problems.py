@@ -168,6 +168,28 @@ def test_near_duplicates_against_brute_force(spark):
     assert all(cls[t, a] == cls[t, b] for t, a, b in got) and (0, 9990) not in cls
 
 
+def test_site_lines_are_cut_alike_however_many_there_are(spark):
+    """Of a notice behind other text nothing is cut, whether the keys of the lines are sent or the lines are emptied by a join."""
+    rng = random.Random(55)
+    notice, foot = " ".join(word(rng) for _ in range(60)), [" ".join(word(rng) for _ in range(9)) for _ in range(3)]
+    rows = []
+    for i in range(60):
+        own = [" ".join(word(rng) for _ in range(12)).capitalize() + "." for _ in range(2)]
+        rows.append((i, f"h{i % 3}", "\n".join([own[0] + " " + notice + ".", foot[i % 3].upper() if i % 2 else foot[i % 3], "", "# " + foot[i % 3], own[1]])))
+    rows += [(60, None, rows[0][2]), (None, "h0", rows[0][2]), (61, "h1", None), (62, "h1", ""), (63, "h2", rows[0][2]), (3, "h0", "\n".join(reversed(rows[3][2].split("\n"))))]
+    corpus = spark.createDataFrame(rows, "id long, host string, text string")
+    chunks = spark.createDataFrame([(1, 1, rows[0][2]), (2, 1, rows[0][2] + " more")], "chunk_id long, qid long, chunk_text string")
+    texts, pairs = [], []
+    for sent in (1000, 0):
+        r, cut = near.project_rows(corpus, chunks, sent=sent)
+        assert (len(cut) > 0) == (sent > 0)
+        m, p = near.near(r, cut)
+        texts.append({tuple(x) for x in m.collect()})
+        pairs.append({tuple(x) for x in p.collect()})
+    assert texts[0] == texts[1] and pairs[0] == pairs[1]
+    assert len([1 for x in pairs[0] if x[0] == 0]) > 500  # by the notice, which stays
+
+
 # ---- p6
 
 
