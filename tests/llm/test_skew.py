@@ -26,6 +26,9 @@ def test_hot_source_and_line(spark):
     assert got == repeated_lines(rows, 12)
 
 
+SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def test_hot_class_of_copies(spark):
     rng = random.Random(2)
     base = [word(rng) for _ in range(60)]
@@ -73,6 +76,28 @@ def test_texts_that_share_a_phrase(spark):
         assert {(r["a"], r["b"]) for r in p.collect()} == want
 
 
+def test_near_pairs_need_no_more_than_the_disk_of_a_round(spark):
+    """Shuffle files of a step are gone when it has ended, and neither rounds, slices nor wide variants change a pair."""
+    rng = random.Random(10)
+    phrase = [word(rng) for _ in range(30)]
+    texts = [" ".join(phrase + [word(rng) for _ in range(50)]) for _ in range(200)]
+    texts += [" ".join(t.split()[:72] + [word(rng) for _ in range(8)]) for t in texts[:40] * 2]
+    rows = spark.createDataFrame([(0, 0, i, 0, t) for i, t in enumerate(texts)], near.ROWS)
+    before = spark.conf.get(SHUFFLES, "false")
+    out = []
+    for how in ({}, {"rounds": 8, "most": 30}, {"heavy": 20, "sampled": 1, "rounds": 4}, {"heavy": 20, "sampled": 1, "wide": 24, "block": 16}):
+        _, p = near.near(rows, **how)
+        out.append({tuple(r) for r in p.collect()})
+    assert len(out[0]) >= 80 and out.count(out[0]) == len(out)
+    assert spark.conf.get(SHUFFLES, "false") == before
+    # texts that many share a phrase with are exchanged as often as they have variants and not for every pair
+    tracker = spark._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker()
+    known = set(map(int, spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(tracker.shuffleStatuses().keySet())))
+    near.near(rows)
+    left = set(map(int, spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(tracker.shuffleStatuses().keySet()))) - known
+    assert not left
+
+
 def test_marks_keep_every_pair_over_the_threshold():
     rng = np.random.default_rng(4)
     pool = rng.integers(1, 1 << 48, 3000, dtype=np.uint64)
