@@ -98,6 +98,42 @@ def test_near_pairs_need_no_more_than_the_disk_of_a_round(spark):
     assert not left
 
 
+def test_sets_meet_for_few_pairs_under_the_threshold(spark, monkeypatch):
+    """Long texts with the same phrase fill the bits of the exchange, so that most pairs that meet are told by their classes."""
+    rng = random.Random(12)
+    phrase = [word(rng) for _ in range(260)]
+    texts = [" ".join(phrase + [word(rng) for _ in range(640)]) for _ in range(60)]
+    texts += [" ".join(t.split()[:800] + [word(rng) for _ in range(100)]) for t in texts[:10]]
+    g = [grams(t) for t in texts]
+    want = {(a, b) for a in range(len(g)) for b in range(a + 1, len(g)) if 2 * len(g[a] & g[b]) >= len(g[a] | g[b])}
+    assert len(want) == 10
+    met, verified = [], near._verified
+    monkeypatch.setattr(near, "_verified", lambda pairs, sets: (met.append(pairs.count()), verified(pairs, sets))[1])
+    _, p = near.near(spark.createDataFrame([(0, 0, i, 0, t) for i, t in enumerate(texts)], near.ROWS))
+    assert {(r["a"], r["b"]) for r in p.collect()} == want
+    assert sum(met) <= 2 * len(want)
+
+
+def test_classes_keep_every_pair_over_the_threshold():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 1 << 48, n, dtype=np.uint64)) for n in (1, 1, 2, 15, 16, 17, 120, 130, 900, 1030, 5000) for _ in range(3)]
+    sets += [np.unique(np.append(x[: max(1, int(len(x) * part))], rng.integers(0, 1 << 48, int(len(x) * more), dtype=np.uint64))) for x in sets for part, more in ((0.51, 0), (0.7, 0.05), (1, 0.9), (0.3, 0.5))]
+    size = np.array([len(x) for x in sets])
+    c = near._classes(np.concatenate(sets), size)
+    i, j = (x.ravel() for x in np.meshgrid(range(len(sets)), range(len(sets)), indexing="ij"))
+    ok = (size[i] <= 2 * size[j]) & (size[j] <= 2 * size[i])
+    i, j = i[ok], j[ok]
+    t = pa.table({"tab": pa.array([0] * len(i), pa.int32()), "a": i, "b": j, "na": size[i], "nb": size[j], "ca": c.take(pa.array(i)), "cb": c.take(pa.array(j))})
+    for x in "ab":
+        t = t.append_column(f"size{x}", pa.array([len(v.as_py()) for v in t.column(f"c{x}")]))
+    found = pa.Table.from_batches(near._classed(iter(t.slice(3).to_batches(max_chunksize=1500))))
+    got = set(zip(found.column("a").to_pylist(), found.column("b").to_pylist()))
+    every, s = list(zip(i.tolist(), j.tolist()))[3:], [set(x.tolist()) for x in sets]
+    want = {(a, b) for a, b in every if 2 * len(s[a] & s[b]) >= len(s[a] | s[b])}
+    assert len({len(v) for v in c.to_pylist()}) > 5 and any(len(c[a].as_py()) != len(c[b].as_py()) for a, b in want)
+    assert len(want) > 200 and want <= got and len(got) < 0.5 * len(every)
+
+
 def test_marks_keep_every_pair_over_the_threshold():
     rng = np.random.default_rng(4)
     pool = rng.integers(1, 1 << 48, 3000, dtype=np.uint64)
