@@ -162,3 +162,24 @@ def test_repeated_region_is_left_out():
     root = html.parse(f"<div class=a><p>{body}<p>and more of it</div><div class=b><p>{body}</div><div class=b><p>something else</div>")
     lines = siterules.site_lines(root, siterules.SiteRule("x", keep=("div.a", "div.b")))
     assert lines == [body.strip(), "and more of it", "something else"]
+
+
+def test_every_broken_invariant_is_told(spark):
+    head = "doc_id long, unit_id string, parent_id string, char_start int, char_end int, text string"
+    docs = [(1, "# one two three"), (2, "left out"), (3, None), (4, "- ---\n\u2003x\U0001d400y z")]
+    good = [(1, "1_p0", None, 0, 13, "one two three"), (1, "1_p0_c0", "1_p0", 0, 7, "one two"), (1, "1_p0_c1", "1_p0", 8, 13, "three"), (2, "2_p0", None, 0, 8, "left out"), (4, "4_p0", None, 0, 3, "---"), (4, "4_p1", None, 5, 10, "x\U0001d400y z")]
+    swap = lambda name, *new: [x for x in good if x[1] != name] + list(new)
+    cases = [
+        (good, []), (good + good, []),
+        (swap("1_p0_c1", (1, "1_p0_c1", "1_p0", 6, 13, "o three")), [("units overlap", "1_p0_c1")]),
+        (swap("4_p1", (4, "4_p1", None, 2, 10, "-\n\u2003x\U0001d400y z")), [("units overlap", "4_p1")]),
+        (swap("1_p0_c1"), [("letters outside the units", "1_p0_c0")]), (swap("1_p0_c0"), [("letters outside the units", "1_p0_c1")]),
+        (swap("4_p0"), [("letters outside the units", "4_p1")]), (swap("4_p1"), [("letters outside the units", "4_p0")]), (swap("2_p0"), [("letters outside the units", "2")]),
+        (swap("2_p0", (2, "2_p0", None, 0, 8, "left-out")), [("text not at its place", "2_p0")]), (swap("2_p0", (2, "2_p0", None, 0, 8, None)), [("text not at its place", "2_p0")]),
+        (good + [(9, "9_p0", None, 0, 1, "a")], [("text not at its place", "9_p0")]), (good + [(2, "2_p0_c0", "2_p9", 0, 8, "left out")], [("child outside its parent", "2_p0_c0")]),
+    ]
+    at = lambda k, s: s and str(int(s[0]) + 10 * k) + s[1:]  # noqa: E731  # each case has documents of its own
+    d = spark.createDataFrame([(i + 10 * k, t) for k in range(len(cases)) for i, t in docs], "doc_id long, text string")
+    u = spark.createDataFrame([(i + 10 * k, at(k, a), at(k, b), *rest) for k, (units, _) in enumerate(cases) for i, a, b, *rest in units], head)
+    want = sorted((p, at(k, x)) for k, (_, told) in enumerate(cases) for p, x in told)
+    assert sorted(tuple(r) for r in chunking.invariant_violations(u, d).collect()) == want
