@@ -183,3 +183,18 @@ def test_every_broken_invariant_is_told(spark):
     u = spark.createDataFrame([(i + 10 * k, at(k, a), at(k, b), *rest) for k, (units, _) in enumerate(cases) for i, a, b, *rest in units], head)
     want = sorted((p, at(k, x)) for k, (_, told) in enumerate(cases) for p, x in told)
     assert sorted(tuple(r) for r in chunking.invariant_violations(u, d).collect()) == want
+
+
+def test_texts_of_documents_are_not_broadcast(spark, monkeypatch):
+    plans = []
+    inner = chunking.written
+
+    def written(df, *more):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return inner(df, *more)
+
+    monkeypatch.setattr(chunking, "written", written)
+    d = spark.createDataFrame([(1, "vi", "qa", "t", "one two")], "doc_id long, lang string, doc_type string, title string, text string")
+    out = chunking.invariant_violations(inner(chunking.units(d), "units"), inner(d, "documents"))
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert out.count() == 0 and not any("BroadcastExchange" in x for x in plans)
