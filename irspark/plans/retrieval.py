@@ -67,7 +67,7 @@ def lsr_top10(spark, sf):
     tf, dl = bm25.postings(units, bm25.tokens_any(F.col("text")))
     w = tf.join(dl, "unit_id").select("unit_id", "term", (F.col("tf") / F.col("dl")).alias("weight"))
     q = src.query_texts(_t(spark, sf, "queries")).select("qid", "query")
-    return bm25.search(w, bm25.query_terms(q, bm25.tokens_any(F.col("query"))), 10)
+    return bm25.search(w, written(bm25.query_terms(q, bm25.tokens_any(F.col("query"))), "terms"), 10)
 
 
 def _vectors(spark, sf):
